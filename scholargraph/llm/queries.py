@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholargraph.llm import host_rules, licences, line_spread, sharding
+from scholargraph.llm import decontaminate, host_rules, licences, line_spread, quality_fm, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+def op4_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge_documents(_table(spark, sf_dir, "documents"))
 
@@ -91,6 +112,10 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict:
     return {
+        "op1_quality_fm": op1_quality_fm,
+        "op2_toxicity": op2_toxicity,
+        "op3_suffix_decontamination": op3_suffix_decontamination,
+        "op4_simhash_gph": op4_simhash_gph,
         "op5_host_rules": op5_host_rules,
         "op6_line_spread": op6_line_spread,
         "op7_prefix_shards": op7_prefix_shards,
