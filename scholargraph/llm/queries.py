@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholargraph.llm import decontaminate, host_rules, licences, line_spread, quality_fm, sharding, simhash, toxicity
+from scholargraph.llm import decontaminate, host_rules, licences, line_spread, packing, quality_fm, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,10 @@ def op7_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
@@ -119,6 +124,7 @@ def queries() -> dict:
         "op5_host_rules": op5_host_rules,
         "op6_line_spread": op6_line_spread,
         "op7_prefix_shards": op7_prefix_shards,
+        "op8_genetic_packing": op8_genetic_packing,
         "op10_licence_scan": op10_licence_scan,
     }
 
