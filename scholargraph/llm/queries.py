@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholargraph.llm import decontaminate, host_rules, licences, line_spread, packing, quality_fm, sharding, simhash, toxicity
+from scholargraph.llm import decontaminate, host_rules, licences, line_spread, packing, quality_fm, sharding, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op8_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
@@ -125,6 +130,7 @@ def queries() -> dict:
         "op6_line_spread": op6_line_spread,
         "op7_prefix_shards": op7_prefix_shards,
         "op8_genetic_packing": op8_genetic_packing,
+        "op9_phrase_automata": op9_phrase_automata,
         "op10_licence_scan": op10_licence_scan,
     }
 
