@@ -1 +1,3 @@
 """Registered queries: operators bound to tables, each beside its SQL."""
+
+from scholargraph.plans import citation_queries  # noqa: F401
