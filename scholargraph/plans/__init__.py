@@ -1,3 +1,10 @@
 """Registered queries: operators bound to tables, each beside its SQL."""
 
-from scholargraph.plans import citation_queries  # noqa: F401
+from scholargraph.plans import (  # noqa: F401
+    citation_queries,
+    corpus_queries,
+    library_queries,
+    resolve_queries,
+    stream_queries,
+    text_queries,
+)
