@@ -64,7 +64,7 @@ def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
     width = bits.shape[1]
     spread = bits.std(axis=0)
     with np.errstate(invalid="ignore", divide="ignore"):
-        corr = np.nan_to_num(np.abs(np.corrcoef(bits, rowvar=False)), nan=0.0) if len(bits) > 1 else np.zeros((width, width))
+        corr = np.nan_to_num(np.abs(np.corrcoef(bits, rowvar=False)), nan=0.0) if len(bits) > 2 else np.zeros((width, width))
     free, groups = set(range(width)), []
     for k in range(parts):
         size = width // parts + (k < width % parts)
@@ -160,8 +160,8 @@ def link_fingerprints(fps: DataFrame, plan: list[tuple[list[int], int]], limit:
         own = F.array(F.struct(F.lit(i).alias("part"), key.alias("key"), F.lit(True).alias("own")))
         entries.append(own)
         if threshold > 0:
-            entries.append(F.transform(F.lit(list(range(len(positions)))), lambda j, k=key, i=i: F.struct(
-                F.lit(i).alias("part"), k.bitwiseXOR(F.expr("1L") * F.pow(F.lit(2.0), j).cast("long")).alias("key"), F.lit(False).alias("own"))))
+            flipped = [key.bitwiseXOR(F.lit(1 << j).cast("long")) for j in range(len(positions))]
+            entries.append(F.array(*[F.struct(F.lit(i).alias("part"), k.alias("key"), F.lit(False).alias("own")) for k in flipped]))
     if not entries:
         raise ValueError("a plan needs at least one group of threshold 0 or more")
     rows = checkpointed(fps.select("fp", F.explode(F.flatten(F.array(*entries))).alias("e")).select("fp", "e.part", "e.key", "e.own"))
