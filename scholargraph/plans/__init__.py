@@ -3,6 +3,7 @@
 from scholargraph.plans import (  # noqa: F401
     citation_queries,
     corpus_queries,
+    evidence_queries,
     library_queries,
     resolve_queries,
     stream_queries,
