@@ -116,3 +116,104 @@ def field_maps(items: DataFrame) -> DataFrame:
     a field the smallest stays."""
     one = items.groupBy("item", "field").agg(F.min("value").alias("value"))
     return one.groupBy("item").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields"))
+
+
+HEADING = r"(?i)^\s*(?:\d+\.?\s+)?(?:references?(?:\s+and\s+notes)?|bibliography|literature\s+cited|works\s+cited)\s*:?\s*$"
+HEADING_FROM, TAIL_FROM, TAIL_ENTRIES = 0.3, 0.6, 8
+
+
+def reference_sections(pages: DataFrame) -> DataFrame:
+    """doc, start_page, heading, method, confidence, entries of pages(doc, page from 0, text).
+
+    The last heading line after the first 30 % of the pages opens the section; without one, the last 40 % of two
+    pages or more are tried, and kept if they hold eight numbered entries that begin at 5 or before.
+    """
+    counts = pages.groupBy("doc").agg(F.max("page").alias("last"))
+    numbered = pages.join(counts, "doc").withColumn("n", F.col("last") + 1)
+    lines = numbered.select("doc", "page", "n", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("at", "line"))
+    heads = lines.filter((F.col("page") >= F.floor(F.col("n") * HEADING_FROM)) & F.col("line").rlike(HEADING)).groupBy("doc").agg(
+        F.max(F.struct("page", "at", F.trim("line").alias("heading"))).alias("h"))
+    tails = numbered.select("doc", "n").distinct().join(heads, "doc", "left_anti").filter("n >= 2").select("doc", F.struct(
+        F.floor(F.col("n") * TAIL_FROM).cast("int").alias("page"), F.lit(-1).alias("at"), F.lit("").alias("heading")).alias("h"))
+    starts = heads.unionByName(tails.withColumn("h", F.col("h").cast(heads.schema["h"].dataType)))
+    after = lines.join(starts, "doc").filter((F.col("page") > F.col("h.page")) | ((F.col("page") == F.col("h.page")) & (F.col("at") > F.col("h.at"))))
+    text = after.groupBy("doc", "h").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "at", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    from scholargraph.functions.segment import segment_references
+
+    found = text.select("doc", "h", segment_references("t").alias("s"))
+    implicit = F.col("h.heading") == ""
+    return found.filter(~implicit | ((F.size("s.entries") >= TAIL_ENTRIES) & (F.col("s.entries")[0]["ordinal"] <= 5))).select(
+        "doc", F.col("h.page").alias("start_page"), F.col("h.heading").alias("heading"),
+        F.when(implicit, F.concat(F.lit("implicit-"), F.col("s.method"))).otherwise(F.col("s.method")).alias("method"), "s.confidence", "s.entries")
+
+
+def prefer_section(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of two extractions of a document, the better one: entries that look like citations first, then a heading, then
+    more entries; the first of equals."""
+    cites = r"\b[A-Z]\.\s*[A-Z][a-z]|\b[A-Z][a-z]+\s+[A-Z]{1,2}\b[,\s]|(?i:\bet\s+al\b)"
+    share = F.size(F.filter(F.slice("entries", 1, 50), lambda e: e["raw"].rlike(cites))) / F.size(F.slice("entries", 1, 50))
+    good = (F.size("entries") == 0) | ((share >= 0.5) & F.forall(F.slice("entries", 1, 3), lambda e: e["raw"].rlike(cites)))
+    ranked = a.withColumn("channel", F.lit(0)).unionByName(b.withColumn("channel", F.lit(1)))
+    rank = F.struct(good.alias("good"), (F.col("heading") != "").alias("headed"), F.size("entries").alias("n"), (-F.col("channel")).alias("c"))
+    return ranked.groupBy("doc").agg(F.max_by(F.struct("start_page", "heading", "method", "confidence", "entries"), rank).alias("s")).select("doc", "s.*")
+
+
+def names_in_text(mentions: DataFrame, texts: DataFrame) -> DataFrame:
+    """paper, mention: mentions(paper, mention, given, family) whose full or reversed name stands in texts(paper, text)
+    (both in their search form) between other than word characters."""
+    inside = lambda form: F.rlike("text", F.concat(F.lit("(?U)(?<!\\w)\\Q"), form, F.lit("\\E(?!\\w)")))
+    forms = [F.concat_ws(" ", "given", "family"), F.concat_ws(" ", "family", "given"), F.concat_ws(", ", "family", "given")]
+    hit = F.lit(False)
+    for form in forms:
+        hit = hit | ((F.length(form) >= 3) & inside(form))
+    return mentions.join(texts, "paper").filter(hit).select("paper", "mention").distinct()
+
+
+@F.pandas_udf(T.BooleanType())
+def has_adjacent_marker(name: pd.Series, text: pd.Series, marker: pd.Series) -> pd.Series:
+    """Whether a role marker stands right behind the name: signs, digits and spaces may come in between, another
+    name may not. A letter marker may be in brackets."""
+    import re
+
+    def one(n, t, m):
+        n, t, m = (n or "").casefold().split(), (t or "").casefold(), (m or "").strip().casefold()
+        if not n or not m:
+            return False
+        bare = m.strip("() ")
+        forms = [bare, f"{bare})", f"({bare})"] if len(bare) == 1 and bare.isalpha() else [m]
+        for hit in re.finditer(r"\s+".join(map(re.escape, n)), t):
+            behind = t[hit.end() : hit.end() + 28]
+            for form in forms:
+                at = behind.find(form)
+                if at >= 0 and not re.search("[a-z]", behind[:at]):
+                    return True
+        return False
+
+    return pd.Series([one(*x) for x in zip(name, text, marker)])
+
+
+def closure_seeds(mentions: DataFrame, members: DataFrame, blocked: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """mention, author: identities that must be made because a mention has no candidate of its name left.
+
+    mentions(name, paper, position, mention); members(mention, author, paper, name) accepted so far; blocked(mention,
+    author). A round seeds, for each name, the first mention without a candidate; an author is a candidate if it has
+    the name, is not on the paper already and is not ruled out for the mention. Rounds go on until there is none.
+    """
+    from scholargraph.operators.lineage import checkpointed
+
+    held = checkpointed(members.select("mention", "author", "paper", "name"))
+    made = None
+    for _ in range(max_rounds):
+        open_ = mentions.join(held.select("mention"), "mention", "left_anti")
+        authors = held.select("name", "author").distinct()
+        on_paper = held.select("paper", "author").distinct()
+        can = open_.join(authors, "name").join(on_paper, ["paper", "author"], "left_anti").join(blocked, ["mention", "author"], "left_anti").select("mention").distinct()
+        seeds = open_.join(can, "mention", "left_anti").groupBy("name").agg(F.min(F.struct("paper", "position", "mention")).alias("m"))
+        seeds = checkpointed(seeds.select(F.col("m.mention").alias("mention"), F.col("m.mention").alias("author"), F.col("m.paper").alias("paper"), "name"))
+        if seeds.isEmpty():
+            break
+        made = seeds if made is None else made.unionByName(seeds)
+        held = checkpointed(held.unionByName(seeds))
+    else:
+        raise RuntimeError(f"seeds were still missing after {max_rounds} rounds")
+    return (made if made is not None else held.limit(0)).select("mention", "author")

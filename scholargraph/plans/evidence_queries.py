@@ -186,3 +186,25 @@ def compatible_names(spark, d) -> DataFrame:
 def reference_histogram(spark, d) -> DataFrame:
     n = T.references(spark, d).groupBy("source_ut").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy(F.when(F.col("n") >= 5, "many").when(F.col("n") >= 2, "some").otherwise("one").alias("b")).agg(F.count(F.lit(1)).alias("papers"))
+
+
+@query("""WITH m AS (SELECT DISTINCT l_partkey AS name, l_orderkey AS paper, l_orderkey * 1000000 + l_suppkey AS mention FROM lineitem), f AS (SELECT name, min(paper) AS paper FROM m GROUP BY 1)
+SELECT mention, mention AS author FROM m JOIN f ON f.name = m.name AND f.paper = m.paper""")
+def closure_seeds(spark, d) -> DataFrame:
+    """Identities that must exist before anyone is scored: the mentions of each name on the first paper that has it."""
+    m = T.table(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), F.col("l_orderkey").alias("paper"), F.lit(0).alias("position"), (F.col("l_orderkey") * 1000000 + F.col("l_suppkey")).alias("mention")).distinct()
+    m = m.groupBy("mention", "name", "paper", "position").agg(F.lit(1).alias("one")).drop("one")
+    # A supplier may stand on an order for several parts: those are mentions of their own.
+    m = m.withColumn("mention", F.struct("mention", "name"))
+    none = m.select("mention", F.col("mention").alias("author"), "paper", "name").limit(0)
+    return evidence.closure_seeds(m, none, none.select("mention", "author")).select(F.col("mention.mention").alias("mention"), F.col("author.mention").alias("author"))
+
+
+@query()
+def reference_sections(spark, d) -> DataFrame:
+    """Conversations as documents of pages: a heading before the last two turns, numbered lines after it."""
+    c = T.table(spark, d, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda l, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), l)), "\n")
+    pages = c.join(last, "conv_id").select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("page"), F.when(F.col("turn") == F.col("last"), F.concat(F.lit("References\n"), numbered)).otherwise(F.col("text")).alias("text"))
+    return evidence.reference_sections(pages).select("doc", "start_page", "heading", "method", "confidence", F.size("entries").cast("long").alias("n"))
