@@ -2,127 +2,177 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a passage, and of the phrases that stand for it.
-PASSAGE, PHRASE = 20, 8
-#: Bytes of text that one automaton is compiled for and run over.
-SHARD_BYTES = 4 << 20
-#: Word values that a task remembers.
-REMEMBERED = 500_000
-
-_M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of anything but space and 0x09-0x0D, unchanged; null has none."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
-class Values(dict):
-    """word -> 64-bit value, remembered."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        v = self[w] = xxhash.xxh64_intdigest(w, 9)
-        return v
-
-
-def rolling(values: np.ndarray, size: int, factor: int) -> np.ndarray:
-    """Polynomial hashes modulo 2**64 of all runs of `size` values."""
-    n = len(values) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    f = np.uint64(factor | 1)
-    for j in range(size):
-        out *= f
-        out += values[j : j + n]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(_M2 | 1)
-    out ^= out >> np.uint64(29)
-    return out
-
-
-def phrases_of(values: np.ndarray) -> np.ndarray:
-    """Hashes of the phrases that stand for the passages of one text: of each passage, its smallest phrase.
-
-    Equal passages choose equal phrases, wherever they stand, so a passage that recurs has a phrase that recurs.
+PASSAGE, PHRASE = 20, 10
+#: Bytes of text that are worked on at a time, and that one automaton is compiled for and run over.
+SHARD_BYTES = 2 << 20
+
+_BASE = 0x9E3779B97F4A7C15
+_M1, _M2 = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+_KNOWN = re.compile(f"[^\x01]{{{PHRASE},}}")
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(31))
+    x *= np.uint64(_M2)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+class Powers:
+    """Powers of the base and of its inverse modulo 2**64, as far as they were needed."""
+
+    def __init__(self):
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, SHARD_BYTES + (SHARD_BYTES >> 2))
+            inverse = pow(_BASE, -1, 1 << 64)
+            ones = np.ones(size, np.uint64)
+            ones[1:] = np.uint64(_BASE)
+            self.up = np.cumprod(ones)
+            ones[1:] = np.uint64(inverse)
+            self.down = np.cumprod(ones)
+        return self.up[:n], self.down[:n]
+
+
+class Shard:
+    """The words of several texts as numbers: equal words have equal values, and `first[d]` is the place of the
+    first word of text d in the row of all words. A word is a run of anything but space and 0x09-0x0D, unchanged."""
+
+    def __init__(self, texts: list[str | None], powers: Powers):
+        parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+        space = _SPACE[raw]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.concatenate([[0], edge])
+        start, end = edge[0::2], edge[1::2]
+        up, down = powers.to(len(raw))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+        self.values = _mix((total[end] - total[start]) * down[start])
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        self.first = np.concatenate([[0], np.searchsorted(start, ends, "left")])
+        self.n = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(texts)), self.n)
+        #: Whether a passage starts at each word.
+        self.whole = np.arange(len(self.values)) + PASSAGE <= self.first[1:][self.doc]
+
+    def rolling(self, size: int, factor: int) -> np.ndarray:
+        """Hashes of `size` words from each place, over the ends of texts too; one for each place of a word."""
+        n = len(self.values)
+        padded = np.concatenate([self.values, np.zeros(size, np.uint64)])
+        out = np.zeros(n, np.uint64)
+        f = np.uint64(factor)
+        for j in range(size):
+            out *= f
+            out += padded[j : j + n]
+        return _mix(out)
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the phrases that stand for the passages: of each passage, its smallest phrase.
+
+        Equal passages choose equal phrases, wherever they stand, so a passage that recurs has a phrase that recurs.
+        """
+        h = self.rolling(PHRASE, _M1)
+        n = len(h)
+        padded = np.concatenate([h, np.full(PASSAGE, np.iinfo(np.uint64).max)])
+        low, at = h.copy(), np.zeros(n, np.int64)
+        for j in range(1, PASSAGE - PHRASE + 1):
+            other = padded[j : j + n]
+            less = other < low
+            np.copyto(low, other, where=less)
+            at[less] = j
+        places = np.unique((at + np.arange(n))[self.whole])
+        return places, h[places]
+
+    def holding(self, places: np.ndarray) -> np.ndarray:
+        """A flag for every place at which a passage starts that holds a phrase at one of `places`."""
+        doc = self.doc[places]
+        a = np.maximum(places - (PASSAGE - PHRASE), self.first[doc])
+        b = np.minimum(places, self.first[doc + 1] - PASSAGE) + 1
+        fits = b > a
+        mark = np.zeros(len(self.values) + 1, np.int32)
+        np.add.at(mark, a[fits], 1)
+        np.add.at(mark, b[fits], -1)
+        return (np.cumsum(mark[:-1]) > 0) & self.whole
+
+
+class Members:
+    """Quick membership of many numbers in a set: a table of bits first, the sorted set for what is left."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.sorted = np.unique(numbers)
+        self.mask = np.uint64((1 << max(12, int(len(self.sorted)).bit_length() + 4)) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[(self.sorted & self.mask).astype(np.int64)] = True
+
+    def index(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of x that are members, and which member each is."""
+        if not len(self.sorted):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        maybe = np.flatnonzero(self.table[(x & self.mask).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.sorted, x[maybe]), len(self.sorted) - 1)
+        sure = self.sorted[k] == x[maybe]
+        return maybe[sure], k[sure]
+
+
+def _own(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One number for a phrase of a text."""
+    return _mix(h + doc.astype(np.uint64) * np.uint64(_BASE))
+
+
+def _lists(column: pa.Array, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of rows x to y of a list column, and the row (from 0) of each; null lists are empty."""
+    part = column.slice(x, y - x).fill_null([])
+    n = np.diff(part.offsets.to_numpy())
+    return part.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(y - x), n)
+
+
+def locate(shard: Shard, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of all occurrences of each text's own recurring phrases, by the shard's automaton.
+
+    The recurring phrases (hash `h` of text `doc`) are confirmed word by word as they enter the automaton: what is
+    added are the words found at a place, not their hash. It then runs over all texts of the shard. Only a text's own
+    phrases count, so the answer does not depend on what shares the shard.
     """
-    h = rolling(values, PHRASE, _M1)
-    span = PASSAGE - PHRASE + 1
-    if len(h) < span:
-        return np.empty(0, np.uint64)
-    low = h[: len(h) - span + 1].copy()
-    at = np.zeros(len(low), np.int64)
-    for j in range(1, span):
-        other = h[j : j + len(low)]
-        less = other < low
-        np.copyto(low, other, where=less)
-        at[less] = j
-    return h[np.unique(at + np.arange(len(low)))]
-
-
-def _array(words: list[bytes], values: Values) -> np.ndarray:
-    return np.fromiter(map(values.__getitem__, words), np.uint64, len(words))
-
-
-def _sign(i: int) -> str:
-    """The character that stands for word number `i` of a shard (surrogates are left out)."""
-    return chr(i + 0x100 if i < 0xD600 else i + 0x900)
-
-
-def locate(texts: list[str], recurring: list[np.ndarray]) -> list[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """For each text its words, their values, and a flag for every passage start that may recur.
-
-    The texts are one shard. Their phrases whose hash recurs in the corpus are confirmed word by word as they enter
-    the shard's automaton, which then runs over all texts of the shard and reports every occurrence. A passage that
-    holds an occurrence may recur; any other passage stands once in the corpus.
-    """
-    values, numbers = Values(), {}
-    made = []
-    wanted = np.unique(np.concatenate([r for r in recurring if len(r)] or [np.empty(0, np.uint64)]))
+    all_h = shard.rolling(PHRASE, _M1)
+    mine = Members(_own(h, doc))
+    inside = np.arange(len(all_h)) + PHRASE <= shard.first[1:][shard.doc]
+    seeds, _ = mine.index(_own(all_h, shard.doc))
+    seeds = seeds[inside[seeds]]
+    if not len(seeds):
+        return seeds
+    _, one = np.unique(all_h[seeds], return_index=True)
+    span = seeds[one][:, None] + np.arange(PHRASE)
+    signs = np.ones(len(shard.values), np.uint32)  # 1: a word of no phrase
+    at, k = Members(shard.values[span].ravel()).index(shard.values)
+    signs[at] = np.where(k < 0xD600, k + 0x100, k + 0x900)  # surrogates are no signs
+    line = signs.astype("<u4").tobytes().decode("utf-32-le")
     automaton = ahocorasick.Automaton()
-    for text in texts:
-        words = words_of(text)
-        v = _array(words, values)
-        if len(wanted) and len(words) >= PASSAGE:
-            line = "".join([_sign(numbers.setdefault(w, len(numbers))) for w in words])
-            h = rolling(v, PHRASE, _M1)
-            at = np.searchsorted(wanted, h)
-            at = np.minimum(at, len(wanted) - 1)
-            found = np.flatnonzero(wanted[at] == h)
-            for p, k in zip(found.tolist(), at[found].tolist()):
-                automaton.add_word(line[p : p + PHRASE], k)
-        else:
-            line = ""
-        made.append((words, v, line))
-    if len(automaton):
-        automaton.make_automaton()
-    out = []
-    for (words, v, line), own in zip(made, recurring):
-        n = max(0, len(words) - PASSAGE + 1)
-        may = np.zeros(n, bool)
-        if line and len(own) and len(automaton):
-            hits = np.array(list(automaton.iter(line)), np.int64).reshape(-1, 2)
-            # Only the text's own recurring phrases count, so the answer does not depend on what shares the shard.
-            ends = hits[np.isin(wanted[hits[:, 1]], own), 0]
-            if len(ends):
-                mark = np.zeros(n + 1, np.int64)
-                begin = ends - PHRASE + 1
-                np.add.at(mark, np.clip(begin - (PASSAGE - PHRASE), 0, n), 1)
-                np.add.at(mark, np.clip(begin + 1, 0, n), -1)
-                may = np.cumsum(mark[:n]) > 0
-        out.append((words, v, may))
-    return out
+    for p in seeds[one].tolist():
+        automaton.add_word(line[p : p + PHRASE], 1)
+    automaton.make_automaton()
+    # Stretches of words that are in some phrase; no phrase reaches over a word that is in none.
+    ends = np.fromiter((e for m in _KNOWN.finditer(line) for e, _ in automaton.iter(line, m.start(), m.end())), np.int64)
+    places = ends - PHRASE + 1
+    places = places[inside[places]]
+    ok, _ = mine.index(_own(all_h[places], shard.doc[places]))
+    return places[ok]
 
 
 def _shards(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -136,75 +186,65 @@ def _shards(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def _recurring(column: pa.Array) -> list[np.ndarray]:
-    return [np.empty(0, np.uint64) if x is None else np.asarray(x, np.int64).view(np.uint64) for x in column.to_pylist()]
-
-
 def _emit_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    values = Values()
+    powers = Powers()
     for b in batches:
-        for a in range(0, len(b), 256):
-            own = b.slice(a, 256)
-            k1, k2, out = [], [], []
-            for t in own.column("text").to_pylist():
-                words = words_of(t)
-                key = xxhash.xxh3_128_intdigest(b" ".join(words))
-                k1.append(key >> 64)
-                k2.append(key & (1 << 64) - 1)
-                out.append(phrases_of(_array(words, values)).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [own.column("doc_id"), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)), pa.array(out, pa.list_(pa.int64()))],
-                names=["doc_id", "k1", "k2", "phrases"],
-            )
+        texts = b.column("text").to_pylist()
+        for x, y in _shards(texts):
+            shard = Shard(texts[x:y], powers)
+            places, h = shard.phrases()
+            offsets = np.searchsorted(places, shard.first).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(c).slice(x, y - x) for c in ("doc_id", "k1", "k2")] + [lists], names=["doc_id", "k1", "k2", "phrases"])
 
 
 def _emit_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(w1, w2, doc_id, start) of every passage that may recur, of documents that are the first of their text."""
+    powers = Powers()
     for b in batches:
         b = b.filter(b.column("recurring").is_valid())
         texts, ids = b.column("text").to_pylist(), b.column("doc_id")
-        recurring = _recurring(b.column("recurring"))
         for x, y in _shards(texts):
-            w1, w2, row, start = [], [], [], []
-            for i, (_, v, may) in enumerate(locate(texts[x:y], recurring[x:y])):
-                at = np.flatnonzero(may)
-                if len(at):
-                    w1.append(rolling(v, PASSAGE, _M1)[at])
-                    w2.append((rolling(v, PASSAGE, _M2)[at] >> np.uint64(33)).astype(np.int32))
-                    row.append(np.full(len(at), x + i, np.int32))
-                    start.append(at.astype(np.int32))
-            if w1:
+            shard = Shard(texts[x:y], powers)
+            h, doc = _lists(b.column("recurring"), x, y)
+            at = np.flatnonzero(shard.holding(locate(shard, h.view(np.uint64), doc)))
+            if len(at):
+                w2 = (shard.rolling(PASSAGE, _M2)[at] >> np.uint64(33)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(w1).view(np.int64)), pa.array(np.concatenate(w2)), ids.take(pa.array(np.concatenate(row))), pa.array(np.concatenate(start))],
+                    [pa.array(shard.rolling(PASSAGE, _M1)[at].view(np.int64)), pa.array(w2), ids.take(pa.array(x + shard.doc[at])), pa.array((at - shard.first[shard.doc[at]]).astype(np.int32))],
                     names=["w1", "w2", "doc_id", "start"],
                 )
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    powers = Powers()
     for b in batches:
         texts = b.column("text").to_pylist()
-        first = b.column("is_first").to_pylist()
-        recurring = _recurring(b.column("recurring"))
-        starts = b.column("starts").to_pylist()
+        first = np.asarray(b.column("is_first").to_pylist(), bool)
         for x, y in _shards(texts):
-            n, gone, kept = [], [], []
-            for i, (words, _, may) in enumerate(locate([t or "" for t in texts[x:y]], recurring[x:y]), x):
-                if not first[i]:
-                    drop = np.ones(max(0, len(words) - PASSAGE + 1), bool)
-                else:
-                    drop = may
-                    if starts[i]:
-                        drop[np.asarray(starts[i], np.int64)] = False
-                mark = np.zeros(len(words) + 1, np.int64)
-                at = np.flatnonzero(drop)
-                mark[at] += 1
-                np.add.at(mark, at + PASSAGE, -1)
-                cover = np.cumsum(mark[:-1]) > 0
-                n.append(len(words))
-                gone.append(int(cover.sum()))
-                kept.append(b" ".join([w for w, c in zip(words, cover.tolist()) if not c] if gone[-1] else words).decode("utf-8", "surrogatepass"))
+            shard = Shard(texts[x:y], powers)
+            h, doc = _lists(b.column("recurring"), x, y)
+            # The places that locate() has found are those of the texts' own phrases; here their hashes are enough.
+            places, _ = Members(_own(h.view(np.uint64), doc)).index(_own(shard.rolling(PHRASE, _M1), shard.doc))
+            places = places[places + PHRASE <= shard.first[1:][shard.doc[places]]]
+            drop = shard.holding(places)
+            stay, doc = _lists(b.column("starts"), x, y)
+            drop[shard.first[doc] + stay] = False
+            drop |= shard.whole & ~first[x:y][shard.doc]
+            mark = np.zeros(len(shard.values) + PASSAGE + 1, np.int32)
+            at = np.flatnonzero(drop)
+            mark[at] += 1
+            mark[at + PASSAGE] -= 1
+            cover = np.cumsum(mark)[: len(shard.values)] > 0
+            gone = np.diff(np.concatenate([[0], np.cumsum(cover)])[shard.first])
+            kept = []
+            for i, t in enumerate(texts[x:y]):
+                words = t.encode("utf-8", "surrogatepass").split() if t else []
+                if gone[i]:
+                    words = compress(words, (~cover[shard.first[i] : shard.first[i + 1]]).tolist())
+                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(x, y - x), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                [b.column("doc_id").slice(x, y - x), pa.array(shard.n), pa.array(gone), pa.array(kept, pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
@@ -215,8 +255,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A word goes if a passage (PASSAGE consecutive words) that covers it also starts earlier: in a document of
     smaller doc_id, or before in the same one. Passages are judged on the input.
 
-    1. Each document reports its word sequence's 128-bit key and its phrases (see phrases_of). Of documents with one
-       key the first stands for all; every passage of the others starts earlier.
+    1. Each document reports its phrases (see Shard.phrases). Of documents with one text (by a 128-bit key) the first
+       stands for all; every passage of the others starts earlier.
     2. Phrases are counted over the first documents; those found twice or more recur. Counting adds up before the
        shuffle, and the join of phrases with their counts is one that AQE splits where a phrase is hot.
     3. Documents meet their own recurring phrases; each shard of documents compiles these into an automaton, which
@@ -231,12 +271,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    said = docs.mapInArrow(_emit_phrases, f"doc_id {kind}, k1 long, k2 long, phrases array<long>")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"), "text")
+    said = keyed.mapInArrow(_emit_phrases, f"doc_id {kind}, k1 long, k2 long, phrases array<long>")
     firsts = said.groupBy("k1", "k2").agg(F.min_by("phrases", "doc_id").alias("phrases"), F.min("doc_id").alias("doc_id"))
     phrases = firsts.select("doc_id", F.explode("phrases").alias("h"))
     often = phrases.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     own = phrases.join(often, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("recurring"))
-    side = firsts.select("doc_id").unionByName(own, allowMissingColumns=True).groupBy("doc_id").agg(
+    unique = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    side = unique.unionByName(own, allowMissingColumns=True).groupBy("doc_id").agg(
         F.first("recurring", ignorenulls=True).alias("recurring"), F.lit(True).alias("is_first"))
     met = docs.join(side, "doc_id", "left").select("doc_id", "text", "recurring", F.coalesce("is_first", F.lit(False)).alias("is_first"))
     passages = met.mapInArrow(_emit_passages, f"w1 long, w2 int, doc_id {kind}, start int")
