@@ -275,7 +275,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     said = keyed.mapInArrow(_emit_phrases, f"doc_id {kind}, k1 long, k2 long, phrases array<long>")
     firsts = said.groupBy("k1", "k2").agg(F.min_by("phrases", "doc_id").alias("phrases"), F.min("doc_id").alias("doc_id"))
     phrases = firsts.select("doc_id", F.explode("phrases").alias("h"))
-    often = phrases.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # Asking for doc_id here too lets both uses of the phrases share one shuffle of them.
+    often = phrases.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("one")).filter("n > 1 or one is null").select("h")
     own = phrases.join(often, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("recurring"))
     unique = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     side = unique.unionByName(own, allowMissingColumns=True).groupBy("doc_id").agg(
