@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -208,10 +208,10 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose doc_id is the smallest of its component; of several rows
-    under one such doc_id (repeated rows), one stays."""
-    found = checkpointed(cluster(docs, limit).select("doc_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first")))
+def keep_one(docs: DataFrame, limit: int = PAIR_LIMIT, clusters: Callable[[DataFrame, int], DataFrame] = cluster) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose doc_id is the smallest of its component in `clusters`; of
+    several rows under one such doc_id (repeated rows), one stays."""
+    found = checkpointed(clusters(docs, limit).select("doc_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first")))
     ids = found.groupBy("doc_id").agg(F.bool_or("first").alias("keep"), F.count(F.lit(1)).alias("n"))
     chosen = ids.filter("keep").select(F.col("doc_id").alias("__keep"))
     out = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
