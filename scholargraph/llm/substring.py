@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 PASSAGE, PHRASE = 20, 10
 #: Bytes of text that are worked on at a time, and that one automaton is compiled for and run over.
 SHARD_BYTES = 2 << 20
+#: Characters that words may be written as: 0x100 to 0x10FFFF without the 0x800 surrogates.
+SIGNS = 0x110000 - 0x100 - 0x800
 
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
@@ -143,12 +145,28 @@ def _lists(column: pa.Array, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
     return part.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(y - x), n)
 
 
-def locate(shard: Shard, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _places(shard: Shard, starts: np.ndarray) -> np.ndarray:
+    """Places of all occurrences, over the ends of texts too, of the phrases at `starts`, by one automaton."""
+    signs = np.ones(len(shard.values), np.uint32)  # 1: a word of no phrase
+    at, k = Members(shard.values[starts[:, None] + np.arange(PHRASE)].ravel()).index(shard.values)
+    signs[at] = np.where(k < 0xD700, k + 0x100, k + 0x900)  # surrogates are no signs
+    line = signs.astype("<u4").tobytes().decode("utf-32-le")
+    automaton = ahocorasick.Automaton()
+    for p in starts.tolist():
+        automaton.add_word(line[p : p + PHRASE], 1)
+    automaton.make_automaton()
+    # Stretches of words that are in some phrase; no phrase reaches over a word that is in none.
+    ends = np.fromiter((e for m in _KNOWN.finditer(line) for e, _ in automaton.iter(line, m.start(), m.end())), np.int64)
+    return ends - PHRASE + 1
+
+
+def locate(shard: Shard, h: np.ndarray, doc: np.ndarray, limit: int = SIGNS) -> np.ndarray:
     """Places of all occurrences of each text's own recurring phrases, by the shard's automaton.
 
     The recurring phrases (hash `h` of text `doc`) are confirmed word by word as they enter the automaton: what is
     added are the words found at a place, not their hash. It then runs over all texts of the shard. Only a text's own
-    phrases count, so the answer does not depend on what shares the shard.
+    phrases count, so the answer does not depend on what shares the shard. Phrases of more than `limit` distinct words
+    are dealt over several automata.
     """
     all_h = shard.rolling(PHRASE, _M1)
     mine = Members(_own(h, doc))
@@ -158,18 +176,10 @@ def locate(shard: Shard, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     if not len(seeds):
         return seeds
     _, one = np.unique(all_h[seeds], return_index=True)
-    span = seeds[one][:, None] + np.arange(PHRASE)
-    signs = np.ones(len(shard.values), np.uint32)  # 1: a word of no phrase
-    at, k = Members(shard.values[span].ravel()).index(shard.values)
-    signs[at] = np.where(k < 0xD600, k + 0x100, k + 0x900)  # surrogates are no signs
-    line = signs.astype("<u4").tobytes().decode("utf-32-le")
-    automaton = ahocorasick.Automaton()
-    for p in seeds[one].tolist():
-        automaton.add_word(line[p : p + PHRASE], 1)
-    automaton.make_automaton()
-    # Stretches of words that are in some phrase; no phrase reaches over a word that is in none.
-    ends = np.fromiter((e for m in _KNOWN.finditer(line) for e, _ in automaton.iter(line, m.start(), m.end())), np.int64)
-    places = ends - PHRASE + 1
+    starts = np.sort(seeds[one])
+    many = len(np.unique(shard.values[starts[:, None] + np.arange(PHRASE)])) > limit
+    step = max(1, limit // PHRASE) if many else len(starts)
+    places = np.sort(np.concatenate([_places(shard, starts[a : a + step]) for a in range(0, len(starts), step)]))
     places = places[inside[places]]
     ok, _ = mine.index(_own(all_h[places], shard.doc[places]))
     return places[ok]
