@@ -21,7 +21,7 @@ def _keyed_lines(text: Column) -> Column:
             i.alias("pos"),
             F.xxhash64(l).alias("k1"),
             F.xxhash64(F.lit("second"), l).alias("k2"),
-            (F.length(l) - F.length(F.translate(l, " ", "")) + 1).alias("words"),
+            F.when(l == "", 0).otherwise(F.length(l) - F.length(F.translate(l, " ", "")) + 1).alias("words"),
         ),
     )
 
@@ -29,7 +29,7 @@ def _keyed_lines(text: Column) -> Column:
 def spread_lines(docs: DataFrame, min_sites: int = 8, min_words: int = 3) -> tuple[DataFrame, DataFrame]:
     """(documents with a row key, places to remove).
 
-    Every line of `min_words` words or more is hashed. HyperLogLog sketches of the sites (`source`) of each hash
+    Every line of `min_words` words or more is hashed (1: every line that is not blank). HyperLogLog sketches of the sites (`source`) of each hash
     merge by aggregation. Hashes whose estimate is clearly above `min_sites` are boilerplate; those within the
     sketch's error of it are counted exactly. Of a boilerplate line, the first place (smallest doc_id, then
     position) stays, so that the text survives once.
