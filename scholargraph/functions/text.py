@@ -15,10 +15,13 @@ DOI = r"(?i)10\.\d{4,9}/\S+"
 EMAIL = r"(?i)(?<![\w.+-])([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})"
 YEAR = r"\b(?:18|19|20)\d{2}\b"
 EMAIL_TAIL = r"[.,;:)\]}>\"]+$"
-STOP_WORDS = (
-    "the and for with from into via using study studies new toward towards based effect effects role analysis molecular state states system systems "
-    "approach investigation properties mechanism mechanisms dynamics energy electronic"
-).split()
+# Words that say nothing about a title.
+STOP_WORDS = [
+    "the", "and", "for", "with", "from", "into", "via", "using", "study", "studies", "new", "toward", "towards",
+    "based", "effect", "effects", "role", "analysis", "molecular", "state", "states", "system", "systems", "approach",
+    "investigation", "properties", "mechanism", "mechanisms", "dynamics", "energy", "electronic",
+]
+# What marks a role, a contact or a supplement.
 NOISE = r"(?i)\b(?:publisher|editorial\s+office|customer\s+service|technical\s+support|permissions?\s+(?:department|team)|reprints?\s+department)\b"
 ROLES = [
     ("CORRESPONDING_AUTHOR", r"(?i)\bcorresponding\s+authors?\b"),
@@ -35,6 +38,11 @@ MARKER = r"(?i)^\s*([*†‡§¶#✉]+|[a-z]\)|\([a-z]\)|\d+\))\s*"
 SUPPLEMENT = r"(?i)(?:^|[\s_.-])(?:si|esi|supp(?:l(?:ement(?:ary|al)?)?)?|supporting)(?:[\s_.-]|$|\d)"
 
 
+def quoted(c: Column) -> Column:
+    """The text as a regular expression that matches nothing but itself."""
+    return F.regexp_replace(c, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 

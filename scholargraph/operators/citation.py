@@ -9,30 +9,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholargraph.operators.lineage import checkpointed
+
 COMPLETE = ("COMPLETE", "COMPLETE_ZERO")
+#: Values of one key that meet all others of it in one task.
+SLICE = 1000
 
 
 def is_complete(status: str = "cr_status"):
     return F.col(status).isin(*COMPLETE)
 
 
+def _pairs_within(rows: DataFrame, key: str, value: str, extra: list[str]) -> DataFrame:
+    """(src, dst, *extra of src): pairs src < dst of the values of one key; rows(key, value, n, ...) with n its size.
+
+    A key of very many values is cut into slices of about SLICE of them; each slice meets all values of the key in a
+    task of its own, so one hot key does not land in one task.
+    """
+    slices = F.ceil(F.col("n") / SLICE)
+    a = rows.select(F.col(key).alias("k"), F.pmod(F.xxhash64(value), slices).alias("slice"), F.col(value).alias("src"), *extra)
+    b = rows.select(F.col(key).alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"), F.col(value).alias("dst"))
+    return a.join(b, ["k", "slice"]).filter("src < dst").select("src", "dst", *extra)
+
+
 def bibliographic_coupling(references: DataFrame, papers: DataFrame, min_shared: int = 1) -> DataFrame:
     """Pairs of papers that share at least `min_shared` references.
 
     references(source_ut, ref_key), papers(ut, cr_status). A reference used by n papers adds 1 / max(1, n - 1) to a
-    pair's fractional weight. Jaccard and cosine are null unless both lists are complete. The self-join is an
-    equi-join on the reference, so AQE splits a reference that very many papers share.
+    pair's fractional weight. Jaccard and cosine are null unless both lists are complete. The distinct references are
+    computed once; references of one paper, which make no pair, leave before the self-join.
     """
-    refs = references.select("source_ut", "ref_key").distinct()
-    weight = refs.groupBy("ref_key").agg((1 / F.greatest(F.lit(1), F.count(F.lit(1)) - 1)).alias("w")).filter("w is not null")
+    refs = checkpointed(references.select("source_ut", "ref_key").distinct())
+    uses = refs.groupBy("ref_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and ref_key is not null")
     sizes = refs.groupBy("source_ut").agg(F.count(F.lit(1)).alias("size"))
     known = papers.select("ut", is_complete().alias("complete")).join(sizes, F.col("ut") == F.col("source_ut"), "left").select(
         "ut", "complete", F.coalesce("size", F.lit(0)).alias("size"))
-    weighted = refs.join(weight, "ref_key")
-    a = weighted.select("ref_key", F.col("source_ut").alias("src"), "w")
-    b = refs.select("ref_key", F.col("source_ut").alias("dst"))
+    shared = checkpointed(refs.join(uses, "ref_key").withColumn("w", 1 / (F.col("n") - 1)))
     pairs = (
-        a.join(b, (a["ref_key"] == b["ref_key"]) & (F.col("src") < F.col("dst"))).groupBy("src", "dst")
+        _pairs_within(shared, "ref_key", "source_ut", ["w"]).groupBy("src", "dst")
         .agg(F.count(F.lit(1)).alias("shared"), F.sum("w").alias("fractional"))
         .filter(F.col("shared") >= min_shared)
     )
@@ -54,13 +68,12 @@ def co_citation(references: DataFrame, papers: DataFrame, min_count: int = 1) ->
     references(source_ut, ref_key) hold resolved targets only. The normalised value is count / sqrt(in * in);
     support is counted apart for papers whose lists are complete.
     """
-    refs = references.select("source_ut", "ref_key").distinct()
+    refs = checkpointed(references.select("source_ut", "ref_key").distinct())
     cited = refs.groupBy("ref_key").agg(F.count(F.lit(1)).alias("n"))
-    marked = refs.join(papers.select(F.col("ut").alias("source_ut"), is_complete().alias("complete")), "source_ut")
-    a = marked.select("source_ut", F.col("ref_key").alias("src"), "complete")
-    b = refs.select("source_ut", F.col("ref_key").alias("dst"))
+    lists = refs.groupBy("source_ut").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(
+        papers.select(F.col("ut").alias("source_ut"), is_complete().alias("complete")), "source_ut")
     pairs = (
-        a.join(b, (a["source_ut"] == b["source_ut"]) & (F.col("src") < F.col("dst"))).groupBy("src", "dst")
+        _pairs_within(refs.join(lists, "source_ut"), "source_ut", "ref_key", ["complete"]).groupBy("src", "dst")
         .agg(F.count(F.lit(1)).alias("together"), F.count_if("complete").alias("complete_support"))
         .filter(F.col("together") >= min_count)
     )

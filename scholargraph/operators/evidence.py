@@ -147,10 +147,14 @@ def reference_sections(pages: DataFrame) -> DataFrame:
         F.when(implicit, F.concat(F.lit("implicit-"), F.col("s.method"))).otherwise(F.col("s.method")).alias("method"), "s.confidence", "s.entries")
 
 
+# How the authors of a citation are written.
+AUTHOR_FORMS = [r"\b[A-Z]\.\s*[A-Z][a-z]", r"\b[A-Z][a-z]+\s+[A-Z]{1,2}\b[,\s]", r"(?i:\bet\s+al\b)"]
+
+
 def prefer_section(a: DataFrame, b: DataFrame) -> DataFrame:
     """Of two extractions of a document, the better one: entries that look like citations first, then a heading, then
     more entries; the first of equals."""
-    cites = r"\b[A-Z]\.\s*[A-Z][a-z]|\b[A-Z][a-z]+\s+[A-Z]{1,2}\b[,\s]|(?i:\bet\s+al\b)"
+    cites = "|".join(AUTHOR_FORMS)
     share = F.size(F.filter(F.slice("entries", 1, 50), lambda e: e["raw"].rlike(cites))) / F.size(F.slice("entries", 1, 50))
     good = (F.size("entries") == 0) | ((share >= 0.5) & F.forall(F.slice("entries", 1, 3), lambda e: e["raw"].rlike(cites)))
     ranked = a.withColumn("channel", F.lit(0)).unionByName(b.withColumn("channel", F.lit(1)))
@@ -161,7 +165,7 @@ def prefer_section(a: DataFrame, b: DataFrame) -> DataFrame:
 def names_in_text(mentions: DataFrame, texts: DataFrame) -> DataFrame:
     """paper, mention: mentions(paper, mention, given, family) whose full or reversed name stands in texts(paper, text)
     (both in their search form) between other than word characters."""
-    inside = lambda form: F.rlike("text", F.concat(F.lit("(?U)(?<!\\w)\\Q"), form, F.lit("\\E(?!\\w)")))
+    inside = lambda form: F.rlike("text", F.concat(F.lit(r"(?U)(?<!\w)"), X.quoted(form), F.lit(r"(?!\w)")))
     forms = [F.concat_ws(" ", "given", "family"), F.concat_ws(" ", "family", "given"), F.concat_ws(", ", "family", "given")]
     hit = F.lit(False)
     for form in forms:
@@ -169,35 +173,28 @@ def names_in_text(mentions: DataFrame, texts: DataFrame) -> DataFrame:
     return mentions.join(texts, "paper").filter(hit).select("paper", "mention").distinct()
 
 
-@F.pandas_udf(T.BooleanType())
-def has_adjacent_marker(name: pd.Series, text: pd.Series, marker: pd.Series) -> pd.Series:
-    """Whether a role marker stands right behind the name: signs, digits and spaces may come in between, another
-    name may not. A letter marker may be in brackets."""
-    import re
+# Fixed value: characters behind a name within which its role marker has to end.
+MARKER_REACH = 28
 
-    def one(n, t, m):
-        n, t, m = (n or "").casefold().split(), (t or "").casefold(), (m or "").strip().casefold()
-        if not n or not m:
-            return False
-        bare = m.strip("() ")
-        forms = [bare, f"{bare})", f"({bare})"] if len(bare) == 1 and bare.isalpha() else [m]
-        for hit in re.finditer(r"\s+".join(map(re.escape, n)), t):
-            behind = t[hit.end() : hit.end() + 28]
-            for form in forms:
-                at = behind.find(form)
-                if at >= 0 and not re.search("[a-z]", behind[:at]):
-                    return True
-        return False
 
-    return pd.Series([one(*x) for x in zip(name, text, marker)])
+def has_adjacent_marker(name: Column | str, text: Column | str, marker: Column | str) -> Column:
+    """Whether a role marker stands right behind the name: signs, digits and spaces may come in between, another
+    name may not. Of a letter in brackets the letter is enough. Nulls and blanks are never found."""
+    name, text, marker = (F.col(c) if isinstance(c, str) else c for c in (name, text, marker))
+    bare = F.regexp_replace(F.trim(marker), r"^[( ]*([A-Za-z])[) ]*$", "$1")
+    gap = F.concat(F.lit("[^a-z]{0,"), F.greatest(F.lit(MARKER_REACH) - F.length(bare), F.lit(0)).cast("string"), F.lit("}"))
+    words = F.regexp_replace(X.quoted(F.trim(name)), r"\s+", r"\\s+")
+    found = F.rlike(text, F.concat(F.lit("(?iu)"), words, gap, X.quoted(bare)))
+    return F.coalesce((F.trim(name) != "") & (bare != "") & found, F.lit(False))
 
 
 def closure_seeds(mentions: DataFrame, members: DataFrame, blocked: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """mention, author: identities that must be made because a mention has no candidate of its name left.
 
     mentions(name, paper, position, mention); members(mention, author, paper, name) accepted so far; blocked(mention,
-    author). A round seeds, for each name, the first mention without a candidate; an author is a candidate if it has
-    the name, is not on the paper already and is not ruled out for the mention. Rounds go on until there is none.
+    author). An author is a candidate if it has the name, is not on the paper already and is not ruled out for the
+    mention. A round seeds, for each name, the mentions without a candidate on the first paper that has any: they are
+    on one paper, so none of them can be a candidate for another. Rounds go on until there is none.
     """
     from scholargraph.operators.lineage import checkpointed
 
@@ -208,8 +205,9 @@ def closure_seeds(mentions: DataFrame, members: DataFrame, blocked: DataFrame, m
         authors = held.select("name", "author").distinct()
         on_paper = held.select("paper", "author").distinct()
         can = open_.join(authors, "name").join(on_paper, ["paper", "author"], "left_anti").join(blocked, ["mention", "author"], "left_anti").select("mention").distinct()
-        seeds = open_.join(can, "mention", "left_anti").groupBy("name").agg(F.min(F.struct("paper", "position", "mention")).alias("m"))
-        seeds = checkpointed(seeds.select(F.col("m.mention").alias("mention"), F.col("m.mention").alias("author"), F.col("m.paper").alias("paper"), "name"))
+        lacking = checkpointed(open_.join(can, "mention", "left_anti").select("name", "paper", "mention"))
+        first = lacking.groupBy("name").agg(F.min("paper").alias("paper"))
+        seeds = checkpointed(lacking.join(first, ["name", "paper"], "left_semi").select("mention", F.col("mention").alias("author"), "paper", "name").distinct())
         if seeds.isEmpty():
             break
         made = seeds if made is None else made.unionByName(seeds)

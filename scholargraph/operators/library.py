@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from scholargraph.operators.lineage import checkpointed
 
+#: Levels of a tree beyond which it is taken for a mistake.
+MAX_DEPTH = 10_000
+
 
 def scan_diff(before: DataFrame, now: DataFrame, key: str, dimensions: dict[str, list[str]], removed: str | None = None) -> DataFrame:
     """key, change, dimensions: NEW, MODIFIED, UNCHANGED, REMOVED, RESTORED or GONE, and what changed.
@@ -27,14 +30,20 @@ def scan_diff(before: DataFrame, now: DataFrame, key: str, dimensions: dict[str,
         F.when(F.col("k1").isNotNull() & F.col("k2").isNotNull(), changed).otherwise("").alias("changed_dimensions"))
 
 
-def tree_closure(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def _deeper(depth: int, max_depth: int) -> int:
+    if depth >= max_depth:
+        raise ValueError(f"the tree is deeper than {max_depth} levels")
+    return depth + 1
+
+
+def tree_closure(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """ancestor, node, depth over nodes(node, parent): every node with itself (depth 0) and all above it. A cycle
-    ends where it would repeat a node."""
+    ends where it would repeat a node. A tree deeper than `max_depth` is an error, never cut."""
     step = nodes.filter("parent is not null").select(F.col("node").alias("child"), "parent")
     level = nodes.select("node", F.col("node").alias("ancestor"), F.array("node").alias("path"))
     out, depth = level.select("ancestor", "node", F.lit(0).alias("depth")), 0
-    while depth < max_depth:
-        depth += 1
+    while True:
+        depth = _deeper(depth, max_depth)
         level = checkpointed(
             level.join(step, F.col("ancestor") == F.col("child")).filter(~F.array_contains("path", F.col("parent")))
             .select("node", F.col("parent").alias("ancestor"), F.concat("path", F.array("parent")).alias("path")))
@@ -52,13 +61,13 @@ def subtree_counts(nodes: DataFrame, members: DataFrame) -> DataFrame:
         "node", F.coalesce("d", F.lit(0)).alias("direct_count"), F.coalesce("s", F.lit(0)).alias("subtree_count"))
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def tree_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """node, path (names from the root, joined by /), depth of nodes(node, parent, name) that hang from a root."""
     level = nodes.filter("parent is null").select("node", F.col("name").alias("path"))
     out, depth = level.withColumn("depth", F.lit(0)), 0
     kids = nodes.filter("parent is not null").select(F.col("node").alias("kid"), F.col("parent"), F.col("name").alias("kid_name"))
-    while depth < max_depth:
-        depth += 1
+    while True:
+        depth = _deeper(depth, max_depth)
         level = checkpointed(level.join(kids, F.col("node") == F.col("parent")).select(F.col("kid").alias("node"), F.concat("path", F.lit("/"), "kid_name").alias("path")))
         if level.isEmpty():
             break

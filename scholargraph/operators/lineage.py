@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one of our own only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a local folder of our own serves a local master,
+    as in tests; on a cluster it would be one that the executors do not see, so that is an error."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="scholargraph-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
@@ -31,3 +34,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened by underscores until none is a column of `df` (whose names ignore case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholargraph.functions import text as X
+from scholargraph.operators.lineage import checkpointed
 
 # The acceptance policy.
 IDENTITY_SCORE, IDENTITY_MARGIN, IDENTITY_OVERLAP = 0.85, 0.15, 2
@@ -81,18 +82,20 @@ def identity_plan(scored: DataFrame) -> DataFrame:
 def similar_pairs(variants: DataFrame, papers: DataFrame, excluded: DataFrame, minimum: float = 0.5, limit: int = 500) -> DataFrame:
     """left_id, right_id, score: authors whose spellings are alike, for review.
 
-    variants(author_id, family, given, initials, normalized) block on (family, first of given) and, swapped, on
-    (given, first of family). Pairs that share a paper (papers(author_id, paper_id)) or are excluded(left_id,
-    right_id) are left out. The score of a pair is its best over its spellings.
+    variants(author_id, family, given, initials, normalized) meet if they have one family name and one first letter of
+    the given name (or initial), or if one's given and family names are the other's family and given names. Pairs that
+    share a paper (papers(author_id, paper_id)) or are excluded(left_id, right_id) are left out. The score of a pair
+    is its best over its spellings.
     """
     squeeze = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\p{L}\p{N}]+", "")
     v = variants.select("author_id", squeeze("family").alias("f"), squeeze("given").alias("g"), F.coalesce("initials", F.lit("")).alias("i"), F.coalesce("normalized", F.lit("")).alias("n")).distinct()
-    key = lambda a, b: F.when((a != "") & (b != ""), F.concat(a, F.lit("\u0001"), b))
-    blocked = v.withColumn("block", F.explode(F.array_distinct(F.array_compact(F.array(
-        key(F.col("f"), F.when(F.col("g") != "", F.substring("g", 1, 1)).otherwise(F.substring("i", 1, 1))), key(F.col("g"), F.substring("f", 1, 1)))))))
-    a = blocked.select("block", *[F.col(c).alias(f"a_{c}") for c in ("author_id", "f", "g", "i", "n")])
-    b = blocked.select("block", *[F.col(c).alias(f"b_{c}") for c in ("author_id", "f", "g", "i", "n")])
-    both = a.join(b, (a["block"] == b["block"]) & (F.col("a_author_id") < F.col("b_author_id")))
+    v = checkpointed(v.filter("f <> ''").withColumn("first", F.when(F.col("g") != "", F.substring("g", 1, 1)).otherwise(F.substring("i", 1, 1))))
+    a = v.select(*[F.col(c).alias(f"a_{c}") for c in v.columns])
+    b = v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns])
+    ordered = F.col("a_author_id") < F.col("b_author_id")
+    alike = a.filter("a_first <> ''").join(b, (F.col("a_f") == F.col("b_f")) & (F.col("a_first") == F.col("b_first")) & ordered)
+    crossed = a.filter("a_g <> '' and a_f <> a_g").join(b, (F.col("a_f") == F.col("b_g")) & (F.col("a_g") == F.col("b_f")) & ordered)
+    both = alike.unionByName(crossed)
     col = F.col
     prefix = (F.least(F.length("a_g"), F.length("b_g")) >= 2) & (col("a_g").startswith(col("b_g")) | col("b_g").startswith(col("a_g")))
     named = (
@@ -102,7 +105,7 @@ def similar_pairs(variants: DataFrame, papers: DataFrame, excluded: DataFrame, m
     swapped = (col("a_f") != "") & (col("a_g") != "") & (col("a_f") == col("b_g")) & (col("a_g") == col("b_f"))
     score = F.greatest(F.when(same_family, F.least(F.lit(1.0), 0.25 + named)).otherwise(0.0), F.when(swapped, 0.95).otherwise(0.0))
     scored = both.withColumn("score", F.round(score, 6)).filter(F.col("score") >= minimum).groupBy(F.col("a_author_id").alias("left_id"), F.col("b_author_id").alias("right_id")).agg(F.max("score").alias("score"))
-    together = (
-        scored.join(papers.select(F.col("author_id").alias("left_id"), "paper_id"), "left_id")
-        .join(papers.select(F.col("author_id").alias("right_id"), F.col("paper_id").alias("p2")), "right_id").filter("paper_id = p2").select("left_id", "right_id").distinct())
+    scored = checkpointed(scored)
+    left, right = papers.select(F.col("author_id").alias("left_id"), "paper_id"), papers.select(F.col("author_id").alias("right_id"), "paper_id")
+    together = scored.join(left, "left_id").join(right, ["right_id", "paper_id"], "left_semi").select("left_id", "right_id").distinct()
     return scored.join(together, ["left_id", "right_id"], "left_anti").join(excluded, ["left_id", "right_id"], "left_anti").orderBy(F.desc("score"), "left_id", "right_id").limit(limit)

@@ -1,5 +1,7 @@
 """The eight-record citation fixture with independently computed values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,8 +49,9 @@ def test_betweenness_and_components(spark, corpus):
     papers, _, edges = corpus
     got = {r.ut: round(r.betweenness, 6) for r in graph.betweenness(papers, edges).collect()}
     assert got == {**dict.fromkeys(NODES, 0.0), "A": 0.119048, "B": 0.238095, "X": 0.261905}
-    with pytest.raises(ValueError):
-        graph.betweenness(papers, edges, limit=3)
+    # Over the limit nothing is broadcast: blocks of sources go over the graph by joins.
+    joined = {r.ut: round(r.betweenness, 6) for r in graph.betweenness(papers, edges, limit=20).collect()}
+    assert joined == got
     parts = {r.ut: (r.weak_component, r.size) for r in graph.weak_components(papers, edges).collect()}
     assert parts == {**{n: (0, 7) for n in "ABCDPXY"}, "E": (1, 1)}
 
@@ -62,6 +65,24 @@ def test_communities(spark, corpus):
     assert clusters == {**dict.fromkeys("ABCDXY", 0), "E": 1, "P": 2}
 
 
+def test_communities_by_joins(spark):
+    """Components over the limit are propagated by joins, with the same labels."""
+    rng = random.Random(3)
+    weights = [(a, b, rng.choice([0.2, 0.3, 0.5, 0.8])) for a in range(6) for b in range(a + 1, 6) if rng.random() < 0.5] + [(20, 21, 0.4), (21, 22, 0.4)]
+    df = spark.createDataFrame(weights, "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(i,) for i in range(24)], "ut long")
+    one, other = ({r.ut: r.cluster_id for r in graph.communities(nodes, df, 0.1, limit=n).collect()} for n in (100, 2))
+    assert one == other and len(one) == 24 and 1 < len(set(one.values())) < 24
+
+
+def test_many_equal_paths(spark):
+    """Ladders of three nodes a level have 3 ** 5 shortest paths; the first three are found without building them."""
+    levels = [[0], *[[10 * k, 10 * k + 1, 10 * k + 2] for k in range(1, 6)], [99]]
+    edges = [(a, b) for x, y in zip(levels, levels[1:]) for a in x for b in y]
+    got = graph.shortest_paths(spark.createDataFrame(edges, "src long, dst long"), 0, 99).orderBy("rank").collect()
+    assert [r.path for r in got] == [[0, 10, 20, 30, 40, 50 + i, 99] for i in range(3)] and [r["rank"] for r in got] == [1, 2, 3]
+
+
 def test_rpys(spark):
     years = [2010] * 4 + [2012] * 2 + [2019] + [2020] * 2 + [2021]
     refs = spark.createDataFrame([(f"s{i}", f"k{i}", y) for i, y in enumerate(years)], "source_ut string, ref_key string, cited_year long")

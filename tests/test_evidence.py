@@ -33,7 +33,10 @@ def test_names_and_markers(spark):
     m = spark.createDataFrame([(1, 10, "ann", "lee"), (1, 11, "bo", "kim"), (1, 12, "jo", "li")], "paper int, mention int, given string, family string")
     t = spark.createDataFrame([(1, "written by ann lee and kim, bo; joli too")], "paper int, text string")
     assert sorted(r.mention for r in evidence.names_in_text(m, t).collect()) == [10, 11]
-    rows = [("Alice Smith", "Alice Smith and Bob Jones*", "*", False), ("Bob Jones", "Alice Smith and Bob  Jones 1,*", "*", True), ("Bob Jones", "Bob Jones (a)", "a)", True), ("", "x*", "*", False)]
+    odd = spark.createDataFrame([(1, 10, r"a\E", "(lee")], "paper int, mention int, given string, family string")
+    assert evidence.names_in_text(odd, spark.createDataFrame([(1, r"by a\E (lee.")], "paper int, text string")).count() == 1
+    rows = [("Alice Smith", "Alice Smith and Bob Jones*", "*", False), ("Bob Jones", "Alice Smith and Bob  Jones 1,*", "*", True), ("Bob Jones", "Bob Jones (a)", "a)", True), ("", "x*", "*", False),
+            ("Bob Jones", "Bob Jones A", "(a)", True), ("A.B. (Q", "a.b.  (q *", "*", True), (r"A\Ec", r"a\ec*", "*", True), ("Bob Jones", "Bob Jones " + "1" * 40 + "*", "*", False), (None, "x*", "*", False)]
     df = spark.createDataFrame(rows, "n string, t string, m string, want boolean")
     assert df.filter(evidence.has_adjacent_marker("n", "t", "m") != F.col("want")).count() == 0
 
