@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholargraph.operators.components import connected_components
-from scholargraph.operators.lineage import checkpointed
+from scholargraph.operators.lineage import checkpointed, fresh
 
 BITS, SHINGLE, SEED, MAX_DISTANCE = 64, 3, 42, 2
 #: Fingerprints that the partitions and thresholds are fitted on, at most.
@@ -44,16 +44,20 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: one map over the documents."""
+    """doc_id, t1, t2 (a 128-bit hash of the text), fp: one map over the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text")
             out = [fingerprint(t) for a in range(0, len(b), 512) for t in texts.slice(a, 512).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "t1", "t2")), pa.array(out, pa.int64())], names=["doc_id", "t1", "t2", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", *(h.alias(n) for n, h in zip(("t1", "t2"), text_hashes(docs))), "text").mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, fp long")
+
+
+def text_hashes(docs: DataFrame) -> tuple[Column, Column]:
+    return F.xxhash64(docs["text"]), F.xxhash64(F.lit("second"), docs["text"])
 
 
 def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
@@ -183,7 +187,8 @@ def link_fingerprints(fps: DataFrame, plan: list[tuple[list[int], int]], limit:
 
 
 def cluster(docs: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links, itself included).
+    """doc_id, t1, t2 (hash of the text), fp, root (a fingerprint of the component), component_id (smallest doc_id
+    reachable over links, itself included).
 
     Exact copies share a fingerprint and are merged before anything is compared, so a group of copies of any size
     costs one entry. Texts without a word (and null) share fingerprint 0 and are linked like any other. Null doc_ids
@@ -200,8 +205,8 @@ def cluster(docs: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
     parts = checkpointed(connected_components(links, "a", "b"))
     rooted = classes.join(parts.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(lowest, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "t1", "t2", "fp", "root", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
@@ -209,10 +214,17 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, limit: int = PAIR_LIMIT, clusters: Callable[[DataFrame, int], DataFrame] = cluster) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose doc_id is the smallest of its component in `clusters`; of
-    several rows under one such doc_id (repeated rows), one stays."""
-    found = checkpointed(clusters(docs, limit).select("doc_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first")))
-    ids = found.groupBy("doc_id").agg(F.bool_or("first").alias("keep"), F.count(F.lit(1)).alias("n"))
-    chosen = ids.filter("keep").select(F.col("doc_id").alias("__keep"))
-    out = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    return out if ids.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """The rows of `docs`, with all their columns, that stand for their components in `clusters` (doc_id, t1, t2,
+    root): of each, the row of smallest doc_id (null ones last) and, of several texts under that one, of smallest hash.
+
+    A row is told by its doc_id and text, so unlike texts under one doc_id, or under none, are documents of their own
+    and all stay. Of rows equal in both, one stays.
+    """
+    found = checkpointed(clusters(docs, limit).select("doc_id", "t1", "t2", "root"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t1", "t2")).alias("b")).select("b.doc_id", "b.t1", "b.t2")
+    own = fresh(docs, "keep_id", "keep_t1", "keep_t2")
+    chosen = best.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "t1", "t2"), own)))
+    t1, t2 = text_hashes(docs)
+    out = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col(own[0])) & (t1 == F.col(own[1])) & (t2 == F.col(own[2])), "left_semi")
+    repeated = found.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])

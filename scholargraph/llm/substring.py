@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress, repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of a passage, and of the phrases that stand for it.
 PASSAGE, PHRASE = 20, 10
-#: Bytes of text that are worked on at a time, and that one automaton is compiled for and run over.
-SHARD_BYTES = 2 << 20
+#: Bytes of text in a bucket of documents (on average), and that are hashed at a time.
+BUCKET_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
 #: Characters that words may be written as: 0x100 to 0x10FFFF without the 0x800 surrogates.
 SIGNS = 0x110000 - 0x100 - 0x800
 
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
-_KNOWN = re.compile(f"[^\x01]{{{PHRASE},}}")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -102,87 +100,59 @@ class Shard:
         places = np.unique((at + np.arange(n))[self.whole])
         return places, h[places]
 
+
+class Texts:
+    """The words themselves of several texts, in one row: `first[d]` is the place of the first word of text d."""
+
+    def __init__(self, texts: list[str | None]):
+        of = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        self.words = list(chain.from_iterable(of))
+        self.n = np.array([len(w) for w in of], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        self.doc = np.repeat(np.arange(len(of)), self.n)
+        #: Whether a passage starts at each word.
+        self.whole = np.arange(len(self.words)) + PASSAGE <= self.first[1:][self.doc]
+
     def holding(self, places: np.ndarray) -> np.ndarray:
-        """A flag for every place at which a passage starts that holds a phrase at one of `places`."""
+        """A flag for every place at which a passage starts that holds one of the phrases at `places`."""
         doc = self.doc[places]
         a = np.maximum(places - (PASSAGE - PHRASE), self.first[doc])
         b = np.minimum(places, self.first[doc + 1] - PASSAGE) + 1
         fits = b > a
-        mark = np.zeros(len(self.values) + 1, np.int32)
+        mark = np.zeros(len(self.words) + 1, np.int32)
         np.add.at(mark, a[fits], 1)
         np.add.at(mark, b[fits], -1)
         return (np.cumsum(mark[:-1]) > 0) & self.whole
 
 
-class Members:
-    """Quick membership of many numbers in a set: a table of bits first, the sorted set for what is left."""
-
-    def __init__(self, numbers: np.ndarray):
-        self.sorted = np.unique(numbers)
-        self.mask = np.uint64((1 << max(12, int(len(self.sorted)).bit_length() + 4)) - 1)
-        self.table = np.zeros(int(self.mask) + 1, bool)
-        self.table[(self.sorted & self.mask).astype(np.int64)] = True
-
-    def index(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of x that are members, and which member each is."""
-        if not len(self.sorted):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        maybe = np.flatnonzero(self.table[(x & self.mask).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.sorted, x[maybe]), len(self.sorted) - 1)
-        sure = self.sorted[k] == x[maybe]
-        return maybe[sure], k[sure]
-
-
-def _own(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """One number for a phrase of a text."""
-    return _mix(h + doc.astype(np.uint64) * np.uint64(_BASE))
-
-
-def _lists(column: pa.Array, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of rows x to y of a list column, and the row (from 0) of each; null lists are empty."""
-    part = column.slice(x, y - x).fill_null([])
-    n = np.diff(part.offsets.to_numpy())
-    return part.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(y - x), n)
-
-
-def _places(shard: Shard, starts: np.ndarray) -> np.ndarray:
-    """Places of all occurrences, over the ends of texts too, of the phrases at `starts`, by one automaton."""
-    signs = np.ones(len(shard.values), np.uint32)  # 1: a word of no phrase
-    at, k = Members(shard.values[starts[:, None] + np.arange(PHRASE)].ravel()).index(shard.values)
-    signs[at] = np.where(k < 0xD700, k + 0x100, k + 0x900)  # surrogates are no signs
-    line = signs.astype("<u4").tobytes().decode("utf-32-le")
-    automaton = ahocorasick.Automaton()
-    for p in starts.tolist():
-        automaton.add_word(line[p : p + PHRASE], 1)
-    automaton.make_automaton()
-    # Stretches of words that are in some phrase; no phrase reaches over a word that is in none.
-    ends = np.fromiter((e for m in _KNOWN.finditer(line) for e, _ in automaton.iter(line, m.start(), m.end())), np.int64)
-    return ends - PHRASE + 1
-
-
-def locate(shard: Shard, h: np.ndarray, doc: np.ndarray, limit: int = SIGNS) -> np.ndarray:
-    """Places of all occurrences of each text's own recurring phrases, by the shard's automaton.
-
-    The recurring phrases (hash `h` of text `doc`) are confirmed word by word as they enter the automaton: what is
-    added are the words found at a place, not their hash. It then runs over all texts of the shard. Only a text's own
-    phrases count, so the answer does not depend on what shares the shard. Phrases of more than `limit` distinct words
-    are dealt over several automata.
-    """
-    all_h = shard.rolling(PHRASE, _M1)
-    mine = Members(_own(h, doc))
-    inside = np.arange(len(all_h)) + PHRASE <= shard.first[1:][shard.doc]
-    seeds, _ = mine.index(_own(all_h, shard.doc))
-    seeds = seeds[inside[seeds]]
-    if not len(seeds):
-        return seeds
-    _, one = np.unique(all_h[seeds], return_index=True)
-    starts = np.sort(seeds[one])
-    many = len(np.unique(shard.values[starts[:, None] + np.arange(PHRASE)])) > limit
-    step = max(1, limit // PHRASE) if many else len(starts)
-    places = np.sort(np.concatenate([_places(shard, starts[a : a + step]) for a in range(0, len(starts), step)]))
-    places = places[inside[places]]
-    ok, _ = mine.index(_own(all_h[places], shard.doc[places]))
-    return places[ok]
+class Automata:
+    """Aho-Corasick automata over words: each distinct word of the phrases is one sign. Phrases of more than `limit`
+    distinct words are dealt over several automata."""
+
+    def __init__(self, phrases: list[bytes], limit: int = SIGNS):
+        self.parts: list[tuple[dict[bytes, str], ahocorasick.Automaton]] = []
+        signs: dict[bytes, str] = {}
+        for phrase in sorted(phrases):
+            words = phrase.split(b" ")
+            if not self.parts or len(signs) + len(words) > limit:
+                signs = {}
+                self.parts.append((signs, ahocorasick.Automaton()))
+            for w in words:
+                if w not in signs:
+                    code = len(signs) + 0x100
+                    signs[w] = chr(code if code < 0xD800 else code + 0x800)  # surrogates are no signs
+            self.parts[-1][1].add_word("".join(map(signs.__getitem__, words)), 1)
+        for _, automaton in self.parts:
+            automaton.make_automaton()
+
+    def places(self, texts: Texts) -> np.ndarray:
+        """Places at which a phrase stands inside one text, by running every automaton over all the words."""
+        ends: list[int] = []
+        for signs, automaton in self.parts:
+            line = "".join(map(signs.get, texts.words, repeat("\x01")))  # a word of no phrase
+            ends += [e for e, _ in automaton.iter(line)]
+        at = np.unique(np.array(ends, np.int64)) - PHRASE + 1
+        return at[at + PHRASE <= texts.first[1:][texts.doc[at]]]
 
 
 def _shards(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -196,105 +166,145 @@ def _shards(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def _emit_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        for x, y in _shards(texts):
-            shard = Shard(texts[x:y], powers)
-            places, h = shard.phrases()
-            offsets = np.searchsorted(places, shard.first).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(c).slice(x, y - x) for c in ("doc_id", "k1", "k2")] + [lists], names=["doc_id", "k1", "k2", "phrases"])
-
-
-def _emit_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, doc_id, start) of every passage that may recur, of documents that are the first of their text."""
-    powers = Powers()
-    for b in batches:
-        b = b.filter(b.column("recurring").is_valid())
-        texts, ids = b.column("text").to_pylist(), b.column("doc_id")
-        for x, y in _shards(texts):
-            shard = Shard(texts[x:y], powers)
-            h, doc = _lists(b.column("recurring"), x, y)
-            at = np.flatnonzero(shard.holding(locate(shard, h.view(np.uint64), doc)))
-            if len(at):
-                w2 = (shard.rolling(PASSAGE, _M2)[at] >> np.uint64(33)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.rolling(PASSAGE, _M1)[at].view(np.int64)), pa.array(w2), ids.take(pa.array(x + shard.doc[at])), pa.array((at - shard.first[shard.doc[at]]).astype(np.int32))],
-                    names=["w1", "w2", "doc_id", "start"],
-                )
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        first = np.asarray(b.column("is_first").to_pylist(), bool)
-        for x, y in _shards(texts):
-            shard = Shard(texts[x:y], powers)
-            h, doc = _lists(b.column("recurring"), x, y)
-            # The places that locate() has found are those of the texts' own phrases; here their hashes are enough.
-            places, _ = Members(_own(h.view(np.uint64), doc)).index(_own(shard.rolling(PHRASE, _M1), shard.doc))
-            places = places[places + PHRASE <= shard.first[1:][shard.doc[places]]]
-            drop = shard.holding(places)
-            stay, doc = _lists(b.column("starts"), x, y)
-            drop[shard.first[doc] + stay] = False
-            drop |= shard.whole & ~first[x:y][shard.doc]
-            mark = np.zeros(len(shard.values) + PASSAGE + 1, np.int32)
-            at = np.flatnonzero(drop)
-            mark[at] += 1
-            mark[at + PASSAGE] -= 1
-            cover = np.cumsum(mark)[: len(shard.values)] > 0
-            gone = np.diff(np.concatenate([[0], np.cumsum(cover)])[shard.first])
-            kept = []
-            for i, t in enumerate(texts[x:y]):
-                words = t.encode("utf-8", "surrogatepass").split() if t else []
-                if gone[i]:
-                    words = compress(words, (~cover[shard.first[i] : shard.first[i + 1]]).tolist())
-                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(x, y - x), pa.array(shard.n), pa.array(gone), pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept"],
-            )
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
+#: Powers that a Python worker keeps from one group to the next.
+_POWERS = Powers()
+
+
+def _list(table: pa.Table, column: str) -> list:
+    return table.column(column).to_pylist()
+
+
+def _phrase_hashes(docs: pa.Table) -> pa.Table:
+    """(p, h, n): the phrases that stand for the passages of a bucket, each once, with the number of their places."""
+    texts, found = _list(docs, "text"), []
+    for x, y in _shards(texts):
+        found.append(Shard(texts[x:y], _POWERS).phrases()[1])
+    h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    p = docs.column("p")[0].as_py() if len(docs) else 0
+    return pa.table({"p": pa.array(np.full(len(h), p, np.int64)), "h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+
+def _phrase_words(docs: pa.Table, wanted: pa.Table) -> pa.Table:
+    """(h, words): the words of the wanted phrases, as they stand in the bucket."""
+    want = set(_list(wanted, "h"))
+    texts, words = _list(docs, "text"), {}
+    for x, y in _shards(texts):
+        if not want:
+            break
+        places, h = Shard(texts[x:y], _POWERS).phrases()
+        row = Texts(texts[x:y]).words
+        for at, k in zip(places.tolist(), h.view(np.int64).tolist()):
+            if k in want:
+                want.discard(k)
+                words[k] = b" ".join(row[at : at + PHRASE])
+    return pa.table({"h": pa.array(list(words), pa.int64()), "words": pa.array(list(words.values()), pa.binary())})
+
+
+def _bases(docs: pa.Table) -> tuple[list[tuple], np.ndarray]:
+    """The key of each row's document (doc_id, and a hash of the text where that is null), and the words of it that
+    stand before the row: rows of one key and different texts are one document, in the order of the texts' hashes."""
+    keys = [(d, k if d is None else None) for d, k in zip(_list(docs, "doc_id"), _list(docs, "k1"))]
+    base = np.zeros(len(keys), np.int64)
+    if len(set(keys)) < len(keys):
+        sizes: dict[tuple, dict[int, int]] = {}
+        for key, k, t in zip(keys, _list(docs, "k1"), _list(docs, "text")):
+            sizes.setdefault(key, {})[k] = len((t or "").encode("utf-8", "surrogatepass").split())
+        before = {}
+        for key, of in sizes.items():
+            total = 0
+            for k in sorted(of):
+                before[key, k], total = total, total + of[k]
+        base[:] = [before[key, k] for key, k in zip(keys, _list(docs, "k1"))]
+    return keys, base
+
+
+def _passages(docs: pa.Table, phrases: pa.Table) -> pa.Table:
+    """(w1, w2, doc_id, k, start) of every passage of the bucket that holds a recurring phrase."""
+    automata, texts, out = Automata(_list(phrases, "words")), _list(docs, "text"), []
+    keys, base = _bases(docs)
+    hashes = pa.array([k for _, k in keys], pa.int64())
+    for x, y in _shards(texts):
+        row = Texts(texts[x:y])
+        at = np.flatnonzero(row.holding(automata.places(row)))
+        if len(at):
+            shard, of = Shard(texts[x:y], _POWERS), x + row.doc[at]
+            w2 = (shard.rolling(PASSAGE, _M2)[at] >> np.uint64(33)).astype(np.int32)
+            out.append(pa.table({
+                "w1": pa.array(shard.rolling(PASSAGE, _M1)[at].view(np.int64)), "w2": pa.array(w2), "doc_id": docs.column("doc_id").take(pa.array(of)),
+                "k": hashes.take(pa.array(of)), "start": pa.array((at - row.first[row.doc[at]] + base[of]).astype(np.int32))}))
+    kind = pa.schema([("w1", pa.int64()), ("w2", pa.int32()), ("doc_id", docs.schema.field("doc_id").type), ("k", pa.int64()), ("start", pa.int32())])
+    return pa.concat_tables(out) if out else kind.empty_table()
+
+
+def _removed(docs: pa.Table, side: pa.Table) -> pa.Table:
+    """doc_id, n_words, n_removed, kept of a bucket. `side` holds the words of its recurring phrases and, of the
+    passages that nothing stands before, the document (doc_id, k) and the start."""
+    automata = Automata([w for w in _list(side, "words") if w is not None])
+    stays: dict = {}
+    for d, k, at in zip(_list(side, "doc_id"), _list(side, "k"), _list(side, "start")):
+        if at is not None:
+            stays.setdefault((d, k), []).append(at)
+    texts, (keys, base) = _list(docs, "text"), _bases(docs)
+    n_words, n_removed, kept = [], [], []
+    for x, y in _shards(texts):
+        row = Texts(texts[x:y])
+        drop = row.holding(automata.places(row))
+        for i, key in enumerate(keys[x:y]):
+            if key in stays:
+                stay = np.array(stays[key], np.int64) - base[x + i]
+                drop[row.first[i] + stay[(stay >= 0) & (stay < row.n[i])]] = False
+        mark = np.zeros(len(row.words) + PASSAGE + 1, np.int32)
+        at = np.flatnonzero(drop)
+        mark[at] += 1
+        mark[at + PASSAGE] -= 1
+        cover = np.cumsum(mark)[: len(row.words)] > 0
+        gone = np.diff(np.concatenate([[0], np.cumsum(cover)])[row.first])
+        n_words.append(row.n)
+        n_removed.append(gone)
+        for i, (a, b) in enumerate(zip(row.first[:-1].tolist(), row.first[1:].tolist())):
+            words = row.words[a:b]
+            kept.append(b" ".join(compress(words, (~cover[a:b]).tolist()) if gone[i] else words).decode("utf-8", "surrogatepass"))
+    none = [np.empty(0, np.int64)]
+    return pa.table({
+        "doc_id": docs.column("doc_id"), "n_words": pa.array(np.concatenate(n_words or none)), "n_removed": pa.array(np.concatenate(n_removed or none)),
+        "kept": pa.array(kept, pa.string())})
+
+
+def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words left, joined by one space.
 
     A word goes if a passage (PASSAGE consecutive words) that covers it also starts earlier: in a document of
     smaller doc_id, or before in the same one. Passages are judged on the input.
 
-    1. Each document reports its phrases (see Shard.phrases). Of documents with one text (by a 128-bit key) the first
-       stands for all; every passage of the others starts earlier.
-    2. Phrases are counted over the first documents; those found twice or more recur. Counting adds up before the
-       shuffle, and the join of phrases with their counts is one that AQE splits where a phrase is hot.
-    3. Documents meet their own recurring phrases; each shard of documents compiles these into an automaton, which
-       locates every occurrence; passages with an occurrence are hashed (96 bits), and the smallest (doc_id, start)
-       of each hash is taken, again combined before the shuffle. A passage that is not that first one goes.
-
-    Documents are shuffled once, by doc_id; no group of documents, phrases or passages is ever collected but by
-    document. Null and empty texts have no words and stay as they are (kept is empty). Rows of one doc_id count as
-    one document: if their texts are equal they are treated alike. A null doc_id is neither an earlier place nor cut,
-    unless its text equals another document's. An empty table gives no rows. Only doc_id and text are read, whatever
-    else the table holds.
+    1. Documents are dealt by hash into buckets of about `bucket_bytes`. Each bucket reports the hashes of its phrases
+       (see Shard.phrases) with their numbers. Phrases that stand in two places or more recur; a hot phrase has one
+       row a bucket, however many documents hold it.
+    2. Of each recurring phrase one bucket gives the words; these go to the buckets that reported it. So the phrases
+       are sharded over the buckets, and no automaton has to hold, or document to meet, those of all the corpus.
+    3. Each bucket compiles its phrases' words into Aho-Corasick automata and streams all its documents through them.
+       Passages that hold a hit are hashed (96 bits), and the smallest place of each hash is taken.
+    4. Each bucket streams its documents through its automata again: of the passages with a hit, all that are not the
+       smallest place of theirs go.
+
+    Hashes choose the phrases and compare the passages; which places may go is decided by the automata's hits on words.
+    Documents are shuffled once, by bucket: all four steps read that shuffle. Null and empty texts have no words and
+    stay as they are (kept is empty). Null doc_ids are later than all others, in the order of a hash of their texts.
+    Rows of one doc_id are one document: equal texts are treated alike, different ones follow each other in the order
+    of a hash of theirs. An empty table gives no rows. Only doc_id and text are read, whatever else the table holds.
     """
-    docs = docs.select("doc_id", "text")
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = F.lit(max(1, -(-total // bucket_bytes)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"), "text")
-    said = keyed.mapInArrow(_emit_phrases, f"doc_id {kind}, k1 long, k2 long, phrases array<long>")
-    firsts = said.groupBy("k1", "k2").agg(F.min_by("phrases", "doc_id").alias("phrases"), F.min("doc_id").alias("doc_id"))
-    phrases = firsts.select("doc_id", F.explode("phrases").alias("h"))
-    # Asking for doc_id here too lets both uses of the phrases share one shuffle of them.
-    often = phrases.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("one")).filter("n > 1 or one is null").select("h")
-    own = phrases.join(often, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("recurring"))
-    unique = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    side = unique.unionByName(own, allowMissingColumns=True).groupBy("doc_id").agg(
-        F.first("recurring", ignorenulls=True).alias("recurring"), F.lit(True).alias("is_first"))
-    met = docs.join(side, "doc_id", "left").select("doc_id", "text", "recurring", F.coalesce("is_first", F.lit(False)).alias("is_first"))
-    passages = met.mapInArrow(_emit_passages, f"w1 long, w2 int, doc_id {kind}, start int")
-    earliest = passages.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("e"))
-    stay = earliest.select("e.doc_id", "e.start").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    return met.join(stay, "doc_id", "left").select("doc_id", "text", "recurring", "is_first", "starts").mapInArrow(
-        _finish, f"doc_id {kind}, n_words long, n_removed long, kept string")
-
+    of = lambda d, k: F.pmod(F.when(d.isNull(), k).otherwise(F.xxhash64(d)), buckets)
+    k1 = F.xxhash64("text")
+    dealt = docs.select(of(F.col("doc_id"), k1).alias("p"), "doc_id", k1.alias("k1"), "text").groupBy("p")
+    every = Window.partitionBy("h")
+    phrases = dealt.applyInArrow(_phrase_hashes, "p long, h long, n long").withColumn("total", F.sum("n").over(every)).withColumn("owner", F.min("p").over(every))
+    routed = phrases.filter("total > 1").select("p", "h", "owner")
+    words = dealt.cogroup(routed.filter("p = owner").groupBy("p")).applyInArrow(_phrase_words, "h long, words binary")
+    sent = routed.select("p", "h").join(words, "h").select("p", "words").repartition("p")
+    passages = dealt.cogroup(sent.groupBy("p")).applyInArrow(_passages, f"w1 long, w2 int, doc_id {kind}, k long, start int")
+    firsts = passages.groupBy("w1", "w2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k", "start")).alias("e"))
+    firsts = firsts.select(of(F.col("e.doc_id"), F.col("e.k")).alias("p"), "e.doc_id", "e.k", "e.start")
+    side = firsts.unionByName(sent, allowMissingColumns=True)
+    return dealt.cogroup(side.groupBy("p")).applyInArrow(_removed, f"doc_id {kind}, n_words long, n_removed long, kept string")

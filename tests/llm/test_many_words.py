@@ -1,4 +1,4 @@
-"""Shards whose recurring phrases hold more distinct words than one plane, or all, of Unicode."""
+"""Buckets whose recurring phrases hold more distinct words than one plane, or all, of Unicode."""
 
 import numpy as np
 import pytest
@@ -6,17 +6,27 @@ import pytest
 from scholargraph.llm import substring
 
 
-@pytest.mark.parametrize("n, limit", [(55_000, substring.SIGNS), (60_000, substring.SIGNS), (60_000, 7000), (1_200_000, substring.SIGNS)])
+@pytest.mark.parametrize("n, limit", [(55_000, substring.SIGNS), (60_000, substring.SIGNS), (60_000, 7000), (1_500_000, substring.SIGNS)])
 def test_many_distinct_words(n, limit):
     text = " ".join(map(str, range(n)))
-    shard = substring.Shard([text, "x " + text], substring.Powers())
+    row = substring.Texts([text, None, "x " + text])
+    phrases = [b" ".join(row.words[a : a + substring.PHRASE]) for a in range(0, n, substring.PHRASE)]
+    automata = substring.Automata(phrases, limit)
     every = np.arange(0, n, substring.PHRASE)
-    h = shard.rolling(substring.PHRASE, substring._M1)[every]
-    got = substring.locate(shard, np.concatenate([h, h]), np.repeat([0, 1], len(h)), limit)
-    assert np.array_equal(got, np.concatenate([every, every + n + 1]))
+    assert len(automata.parts) == max(1, -(-n // (limit // substring.PHRASE * substring.PHRASE)))
+    assert np.array_equal(automata.places(row), np.concatenate([every, every + n + 1]))
 
 
 def test_two_copies_of_a_word_list(spark):
     text = " ".join(map(str, range(60_000)))
     out = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(spark.createDataFrame([(1, text), (2, "x " + text)], "doc_id long, text string")).collect()}
     assert out == {1: 0, 2: 60_000}
+
+
+def test_hits_decide():
+    """No phrase is found over the end of a text, nor by anything but its words."""
+    a = [f"w{i}" for i in range(30)]
+    row = substring.Texts([" ".join(a[:15]), " ".join(a[15:]), " ".join(a[5:20]).replace("w12", "w12x")])
+    phrases = [" ".join(a[i : i + substring.PHRASE]).encode() for i in range(20)]
+    assert substring.Automata(phrases).places(row).tolist() == [*range(0, 6), *range(15, 20)]
+    assert substring.Automata([]).places(row).tolist() == []
