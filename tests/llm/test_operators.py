@@ -159,7 +159,6 @@ def test_packing(spark, docs, nothing):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     ids = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
     got = packing.pack(docs, BPE, capacity=256, block=8).collect()
     by, bins = {}, {}
@@ -186,13 +185,42 @@ def test_encoder_is_exact(text):
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.ids(text)
 
 
+def test_encoder_forgets_exactly():
+    """Words that left the memory, or moved between its generations, are encoded as before."""
+    from tokenizers import Tokenizer
+
+    tok, encoder = Tokenizer.from_file(BPE), packing.Encoder(BPE, 20)
+    texts = ["\n".join(" ".join(words(k + j, 9, 60)) for j in range(3)) for k in range(30)] + ["x <|endoftext|> y", "<|endoftext|>"]
+    for a in range(0, len(texts), 4):
+        got = encoder.encode(texts[a : a + 4])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts[a : a + 4]]
+    assert np.frombuffer(encoder.encode(["x <|endoftext|> y"])[0], "<u4").tolist() == [87, 220, 50256, 331]
+
+
 def test_genetic_steps():
+    """Every step keeps the items and the capacity; evolution saves bins over its random seeds, and elites are kept."""
     rng = np.random.default_rng(0)
-    sizes = [int(x) for x in rng.integers(1, 100, 60)]
-    a = packing.best_fit(list(range(60)), sizes, [], 100)
-    b = packing.best_fit(list(reversed(range(60))), sizes, [[i] for i in range(3)], 100)[:0] or packing.mutate(a, sizes, 100, rng)
-    for child in (packing.crossover(a, b, sizes, 100, rng), packing.evolve(sizes, [a, b], 100, 1)):
-        assert sorted(i for x in child for i in x) == list(range(60)) and all(sum(sizes[i] for i in x) <= 100 for x in child)
+    sizes = [int(x) for x in rng.integers(100, 900, 400)]
+    a, b = (packing.shuffled_fit(sizes, 2048, rng) for _ in range(2))
+    island, other = packing.evolve(sizes, [], 2048, 1), packing.evolve(sizes, [], 2048, 2)
+    last = packing.evolve(sizes, [island, other], 2048, 3)
+    for s in (a, b, packing.crossover(a, b, sizes, 2048, rng), packing.mutate(a, sizes, 2048, rng), island, other, last):
+        assert sorted(i for x in s for i in x) == list(range(400)) and all(sum(sizes[i] for i in x) <= 2048 for x in s)
+    plain = len(packing.best_fit(list(range(400)), sizes, [], 2048))
+    assert len(island) < len(a) and len(island) < len(b) and len(last) <= min(len(island), len(other), plain) and island != other
+    assert packing.evolve([], [], 2048, 0) == [] and packing.evolve([5], [], 2048, 0) == [[0]]
+
+
+def test_packing_saves_bins_over_plain_best_fit(spark):
+    """On items of about a third of a bin each block alone leaves bins half full; rounds across blocks save them."""
+    rng = random.Random(2)
+    items = spark.createDataFrame([(i, rng.randrange(500, 900)) for i in range(600)], "pid long, length long")
+    total = -(-items.agg(F.sum("length")).first()[0] // 2048)
+    got = packing.pack_items(items, 600, 2048, 100)
+    assert got.select("pid").distinct().count() == got.count() == 600
+    before, after = got.select("block", "bin").distinct().count(), packing.pack_items(items, 600, 2048, 600).select("block", "bin").distinct().count()
+    assert total <= after <= before
+    assert got.groupBy("block", "bin").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
 
 
 def test_substrings(spark, docs, nothing):
