@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,46 @@ def write_run(spark: SparkSession, store: str, run_id: str, kind: str, tables: d
         "finished_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{store}/manifest/run={run_id}")
 
 
+_LEDGER = "run string, kind string, status string, step int, error string"
+
+
+def _note(spark: SparkSession, store: str, run_id: str, kind: str, status: str, step: int, error: str | None = None) -> None:
+    row = spark.createDataFrame([(run_id, kind, status, step, error)], _LEDGER).withColumn("at", F.current_timestamp())
+    row.write.mode("append").parquet(f"{store}/ledger")
+
+
+def begin(spark: SparkSession, store: str, run_id: str, kind: str) -> None:
+    """Notes a run as RUNNING; a run of that name that is not FAILED is an error."""
+    try:
+        known = states(spark.read.parquet(f"{store}/ledger")).filter((F.col("run") == run_id) & (F.col("status") != "FAILED")).first()
+    except AnalysisException:  # no ledger yet
+        known = None
+    if known is not None:
+        raise ValueError(f"run {run_id} is {known['status']}")
+    _note(spark, store, run_id, kind, "RUNNING", 0)
+
+
+def complete(spark: SparkSession, store: str, run_id: str, kind: str) -> None:
+    _note(spark, store, run_id, kind, "COMPLETED", 1)
+
+
+def fail(spark: SparkSession, store: str, run_id: str, kind: str, error: Exception) -> None:
+    _note(spark, store, run_id, kind, "FAILED", 1, f"{type(error).__name__}: {error}"[:2000])
+
+
+def states(ledger: DataFrame) -> DataFrame:
+    """run, kind, status, error, at: where each run of ledger(run, kind, status, step, error, at) stands; what is
+    noted later counts, of one moment the later step."""
+    last = F.max_by(F.struct("kind", "status", "error", "at"), F.struct("at", "step", "status"))
+    return ledger.groupBy("run").agg(last.alias("s")).select("run", "s.*")
+
+
+def current(spark: SparkSession, store: str, table: str, kind: str) -> DataFrame | None:
+    """The table of the last completed run of a kind; None if there is none."""
+    done = states(spark.read.parquet(f"{store}/ledger")).filter((F.col("kind") == kind) & (F.col("status") == "COMPLETED")).orderBy(F.desc("at"), F.desc("run")).first()
+    return None if done is None else spark.read.parquet(f"{store}/{table}/run={done['run']}")
+
+
 def latest(runs: DataFrame, by: str = "kind", order: str = "finished_at", key: str = "run") -> DataFrame:
     """The last completed run of each kind; ties go to the larger key."""
     done = runs.filter(F.col("status") == "COMPLETED")

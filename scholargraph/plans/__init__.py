@@ -6,6 +6,7 @@ from scholargraph.plans import (  # noqa: F401
     evidence_queries,
     library_queries,
     resolve_queries,
+    state_queries,
     stream_queries,
     text_queries,
 )
