@@ -79,6 +79,23 @@ class Machine:
         self.w = np.zeros(DIMENSION, np.float32)
         self.v = rng.normal(0, 0.02, (DIMENSION, FACTORS)).astype(np.float32)
 
+    @classmethod
+    def of(cls, bias: float, w: np.ndarray, v: np.ndarray) -> Machine:
+        """A machine of known weights."""
+        m = cls.__new__(cls)
+        m.bias, m.w, m.v = bias, w, v
+        return m
+
+    def scores(self, texts: list[str | None], lengths: list[int | None], cache: dict) -> np.ndarray:
+        """The scores (0 to 1) of texts with their lengths, 256 at a time."""
+        out = [np.empty(0, np.float64)]
+        for a in range(0, len(texts), 256):
+            made = [features(t, n, cache) for t, n in zip(texts[a : a + 256], lengths[a : a + 256])]
+            starts = np.concatenate([[0], np.cumsum([len(x[0]) for x in made])[:-1]])
+            z = self.margins(np.concatenate([x[0] for x in made]), np.concatenate([x[1] for x in made]), starts)
+            out.append(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))))
+        return np.concatenate(out)
+
     def margins(self, ids: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """One margin a row; rows are never empty, since every text has its statistics."""
         linear = np.add.reduceat(self.w[ids] * values, starts)
@@ -153,18 +170,10 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = Machine(), {}
-        m.bias, m.w, m.v = shared.value
+        m, cache = Machine.of(*shared.value), {}
         for b in batches:
-            texts, lengths = b.column("text"), b.column("n_chars")
-            out = []
-            for a in range(0, len(b), 256):
-                made = [features(t, n, cache) for t, n in zip(texts.slice(a, 256).to_pylist(), lengths.slice(a, 256).to_pylist())]
-                sizes = np.array([len(x[0]) for x in made])
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                z = m.margins(np.concatenate([x[0] for x in made]), np.concatenate([x[1] for x in made]), starts)
-                out.append(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(out) if out else [], pa.float64())], names=["doc_id", "score"])
+            out = m.scores(b.column("text").to_pylist(), b.column("n_chars").to_pylist(), cache)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     docs = _with_length(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -172,7 +181,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from a score of 0.7)."""
+    """doc_id, held_out, score, predicted (1 from a score of 0.7) of every row; see score() for nulls, empty texts,
+    repeated rows, empty tables and other columns. Equal rows get equal scores. A document without labels is scored
+    like any other; without any label at all every score is 0.5."""
     return score(docs, fit(docs, labels, rows)).select(
         "doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
@@ -180,27 +191,18 @@ def judge(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of `docs`, with all their columns, that the machine does not reject."""
+    """The rows of `docs`, with all their columns and whatever their names, that the machine does not reject: those
+    whose score is 0.7 or more. Null and empty texts are judged by their statistics, rows by themselves; an empty
+    table gives no rows."""
     machine = fit(docs, labels, rows)
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))
-    names = docs.columns
+    counted = "n_chars" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = Machine(), {}
-        m.bias, m.w, m.v = shared.value
+        m, cache = Machine.of(*shared.value), {}
         for b in batches:
-            lengths = b.column("n_chars").to_pylist() if "n_chars" in names else [None] * len(b)
             texts = b.column("text").to_pylist()
-            if not texts:
-                continue
-            if "n_chars" not in names:
-                lengths = [None if t is None else len(t) for t in texts]
-            keep = []
-            for a in range(0, len(texts), 256):
-                made = [features(t, n, cache) for t, n in zip(texts[a : a + 256], lengths[a : a + 256])]
-                starts = np.concatenate([[0], np.cumsum([len(x[0]) for x in made])[:-1]])
-                z = m.margins(np.concatenate([x[0] for x in made]), np.concatenate([x[1] for x in made]), starts)
-                keep.append(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))) >= THRESHOLD)
-            yield b.filter(pa.array(np.concatenate(keep)))
+            lengths = b.column("n_chars").to_pylist() if counted else [None if t is None else len(t) for t in texts]
+            yield b.filter(pa.array(m.scores(texts, lengths, cache) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
