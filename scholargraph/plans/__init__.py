@@ -5,6 +5,7 @@ from scholargraph.plans import (  # noqa: F401
     corpus_queries,
     evidence_queries,
     library_queries,
+    link_queries,
     resolve_queries,
     state_queries,
     stream_queries,
