@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholargraph.operators import linking, listing
 from scholargraph.plans.registry import query
 from scholargraph.sources import tables as T
+from scholargraph.sources import tagged
 
 
 @query("""WITH c AS (SELECT DISTINCT l_orderkey AS ut, l_partkey AS child, 'n' || l_suppkey % 6 AS name FROM lineitem WHERE l_linenumber <= 3), a AS (SELECT DISTINCT l_orderkey AS ut, l_linenumber AS order_index, 'n' || l_suppkey % 6 AS name FROM lineitem WHERE l_linenumber > 2)
@@ -107,3 +108,25 @@ def projection_mismatches(spark, d) -> DataFrame:
 def collection_listing(spark, d) -> DataFrame:
     members = T.table(spark, d, "orders").select(F.col("o_custkey").alias("collection"), (F.col("o_orderkey") % 400).alias("ut"), (F.col("o_orderkey") % 7).alias("order_index"))
     return listing.collection_papers(members, T.table(spark, d, "part").select(F.col("p_partkey").alias("ut"), F.col("p_size").alias("year")))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, l_suppkey AS s, l_linenumber AS i, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2, 3), a AS (SELECT k, count(*) AS authors, arg_min(s, (i, s)) AS first, count(*) FILTER (WHERE p % 2 = 0) AS refs FROM s GROUP BY 1)
+SELECT 'WOS:' || k AS ut, 'A study of ' || k || ' parts' AS title, CAST(year(o_orderdate) AS INTEGER) AS year, authors, 'Supplier ' || first AS first_author, refs AS cited, CASE WHEN refs = 0 THEN 'MISSING_FROM_EXPORT' WHEN refs >= authors THEN 'COMPLETE' ELSE 'PARTIAL' END AS cr_status,
+o_orderpriority AS keyword, CAST(k % 50 AS INTEGER) AS times_cited, 'V' || k % 9 AS volume FROM a JOIN orders ON o_orderkey = k WHERE k % 10 <> 3""")
+def tagged_records(spark, d) -> DataFrame:
+    """Orders written as tagged records (continued titles, one author a line, no accession number for some) and read again."""
+    one = T.table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    lines = one.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "p"))).alias("all"))
+    full = lines.join(T.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    k = F.col("l_orderkey").cast("string")
+    mark = lambda tag, values: F.transform(values, lambda v, i: F.concat(F.when(i == 0, F.lit(f"{tag} ")).otherwise(F.lit("   ")), v))
+    text = lambda tag, value: F.array(F.concat(F.lit(f"{tag} "), value))
+    cited = F.transform(F.filter("all", lambda x: x["p"] % 2 == 0), lambda x: F.concat(F.lit("Supplier "), x["l_suppkey"].cast("string"), F.lit(", 1999, J PART")))
+    record = F.concat(
+        F.array(F.lit("ignored"), F.lit("PT J ")), mark("AU", F.transform("all", lambda x: F.concat(F.lit("Supplier "), x["l_suppkey"].cast("string")))),
+        F.array(F.lit("TI A study of"), F.concat(F.lit("   "), k, F.lit("  parts"))), text("PY", F.year("o_orderdate").cast("string")), text("DE", F.col("o_orderpriority")), mark("CR", cited),
+        text("NR", F.size("all").cast("string")), text("TC", (F.col("l_orderkey") % 50).cast("string")), text("VL", F.concat(F.lit("V"), (F.col("l_orderkey") % 9).cast("string"))),
+        F.when(F.col("l_orderkey") % 10 != 3, text("UT", F.concat(F.lit("WOS:"), k))).otherwise(F.array().cast("array<string>")))
+    out = tagged.interpret(tagged.parse_records(full.select(F.lit("orders").alias("file"), record.alias("lines"))))
+    return out.select("ut", "title", "year", F.size("authors").cast("long").alias("authors"), F.col("authors")[0]["au_name"].alias("first_author"), F.size("references").cast("long").alias("cited"), "cr_status",
+                      F.col("keywords")[0].alias("keyword"), "times_cited", "volume")
