@@ -7,6 +7,8 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholargraph.operators.lineage import checkpointed
+
 # Statements by which licences are commonly declared, by family.
 TEMPLATES = {
     "Apache-2.0": [
@@ -163,7 +165,7 @@ def _sampled_lines(docs: DataFrame, documents: int, lines: int) -> tuple[list, l
     for hint in HINTS:
         hinted = hinted | low.contains(hint)
     keyed = docs.filter(F.col("text").isNotNull()).select("text", F.xxhash64(F.lit("sample"), "text").alias("h"), hinted.alias("hinted"))
-    hashes = keyed.select("h", "hinted")
+    hashes = checkpointed(keyed.select("h", "hinted"))
     last = [hashes.filter(c).select("h").distinct().orderBy("h").limit(documents).agg(F.max("h").alias("h")).first()["h"] for c in ("hinted", "true")]
     if last[1] is None:
         return [], []
@@ -187,7 +189,8 @@ def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, lines: int = SAMPLE_
 
     Declaring lines of the corpus are labelled by the name they give; those that name none are `unknown`. Both samples
     are bounded and only used for fitting. Grams that stand in more than `common` of the ordinary lines tell nothing
-    and leave the vocabulary, so the model is sparse: a line without any of its grams belongs to `none`. One line in
+    and leave the vocabulary, as do those that the elastic net gives no weight: a line without any of the others
+    belongs to `none`. One line in
     CALIBRATION (by hash) takes no part in the fit. The threshold under which a family becomes `unknown` lies halfway
     between the highest probability of a family that 99 % of the held-out lines of no family stay under and the
     probability that 99 % of the held-out lines of a family reach, within 0.5 to 0.95.
@@ -219,7 +222,8 @@ def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, lines: int = SAMPLE_
     other, least = row["other"] if row["other"] is not None else 0.0, row["own"] if row["own"] is not None else 1.0
     threshold = min(max((other + max(least, other)) / 2, 0.5), 0.95)
     m = model.coefficientMatrix.toArray().T
-    return LicenceModel(names, vec.vocabulary, m, [float(x) for x in model.interceptVector], float(threshold))
+    told = [i for i, row in enumerate(m) if row.any()]  # the fit is sparse: most grams weigh nothing
+    return LicenceModel(names, [vec.vocabulary[i] for i in told], m[told], [float(x) for x in model.interceptVector], float(threshold))
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.5) -> DataFrame:
@@ -240,7 +244,9 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.
     model = model or fit(docs)
     k, fam = len(model.names), len(TEMPLATES)
     table = model.table(spark)
-    listed = sorted({w for g in model.vocabulary for w in g.split(" ")})
+    # One word of every gram: a single word itself, of a pair one that is a gram too, or else the longer one.
+    single = {g for g in model.vocabulary if " " not in g}
+    listed = sorted(single | {max(pair, key=len) for g in model.vocabulary if single.isdisjoint(pair := g.split(" "))})
     hits = (
         _paragraphs(docs).filter(F.exists("words", lambda w: w.isin(listed)))
         .select("doc_id", "row", "pos", F.explode(grams(F.col("words"))).alias("gram"))
