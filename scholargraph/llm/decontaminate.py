@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholargraph.llm.worker import kept
+
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast may hold; a larger benchmark is searched in several blocks.
 BLOCK_BYTES = 32 << 20
@@ -139,7 +142,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
     The documents are mapped once for each block of the benchmark (one, unless it is over `block_bytes`) and never
     shuffled. Null or empty texts have no words and no matches; items without a word match nothing; repeated rows
-    of either table give repeated rows or add nothing. An empty table of documents gives no rows, an empty benchmark
+    of either table give repeated rows or add nothing; a null item_id is an empty one. An empty table of documents gives no rows, an empty benchmark
     no matches. Other columns are ignored, whatever their names.
     """
     sc = docs.sparkSession.sparkContext
@@ -147,11 +150,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     shape = f"doc_id {kind}, text string, n_words long, matches array<struct<start:int,end:int,item:string>>"
     out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"),
                       F.array().cast("array<struct<start:int,end:int,item:string>>").alias("matches"))
-    for block in _blocks(benchmark, block_bytes):
-        shared = sc.broadcast(block)
+    for n, block in enumerate(_blocks(benchmark, block_bytes)):
+        shared, version = sc.broadcast(block), hashlib.sha256(repr(block).encode()).hexdigest()
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            test = Suffixes(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, version=version, n=n) -> Iterator[pa.RecordBatch]:
+            test = kept(f"suffixes{n}", version, lambda: Suffixes(shared.value))
             for b in batches:
                 texts = b.column("text").to_pylist()
                 for x, y in _shards(texts):
@@ -187,11 +190,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs`, with all their columns, that hold no window of the benchmark."""
     sc = docs.sparkSession.sparkContext
-    for block in _blocks(benchmark, block_bytes):
-        shared = sc.broadcast(block)
+    for n, block in enumerate(_blocks(benchmark, block_bytes)):
+        shared, version = sc.broadcast(block), hashlib.sha256(repr(block).encode()).hexdigest()
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            test = Suffixes(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, version=version, n=n) -> Iterator[pa.RecordBatch]:
+            test = kept(f"suffixes{n}", version, lambda: Suffixes(shared.value))
             for b in batches:
                 texts = b.column("text").to_pylist()
                 for x, y in _shards(texts):
