@@ -56,7 +56,16 @@ SELECT doc, pos, 'EXPLICIT_ROLE' AS kind, length(CASE WHEN nx IS NOT NULL THEN t
 def candidate_spans(spark, d) -> DataFrame:
     """Role spans of conversations whose user turns are replaced by a heading that the next turn belongs to."""
     b = T.table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.when(F.col("role") == "user", "Correspondence to:").otherwise(F.col("text")).alias("text"))
-    return evidence.candidate_spans(b).filter(F.col("text").startswith("Correspondence to:")).select("doc", "pos", "kind", F.length("text").cast("long").alias("n"))
+    return evidence.candidate_spans(b).select("doc", "pos", "kind", F.length("text").cast("long").alias("n"))
+
+
+@query(r"""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL)
+SELECT doc, pos, CASE WHEN regexp_matches(line, '(?i)\bcorresponding\s+authors?\b') THEN 'EXPLICIT_ROLE' ELSE 'CONTACT_ONLY' END AS kind, count(*) OVER (PARTITION BY doc) AS spans FROM l
+WHERE regexp_matches(line, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}') OR regexp_matches(line, '(?i)\bcorresponding\s+authors?\b')""")
+def document_spans(spark, d) -> DataFrame:
+    """Spans of the documents' own lines: what is mailed or named there."""
+    b = T.table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    return evidence.candidate_spans(b).select("doc", "pos", "kind", F.count(F.lit(1)).over(Window.partitionBy("doc")).alias("spans"))
 
 
 OWN_SQL = """m AS (SELECT l_orderkey AS paper, l_suppkey AS mention, 'given' || chr(97 + CAST(l_suppkey % 5 AS INTEGER)) AS given, 'family' || chr(97 + CAST(l_suppkey % 7 AS INTEGER)) AS family FROM lineitem GROUP BY 1, 2, 3, 4),

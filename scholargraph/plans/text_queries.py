@@ -95,3 +95,16 @@ def reference_segments(spark, d) -> DataFrame:
     """Segments numbered lists made of each document's lines: style and number of entries by document."""
     lines = _lines(spark, d).filter(F.trim("line") != "").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["line"])), "\n").alias("t"))
     return lines.select("doc_id", segment.segment_references("t").alias("s")).select("doc_id", F.size("s.entries").cast("long").alias("entries"), "s.method", "s.confidence")
+
+
+@query(r"""SELECT DISTINCT doc_id, lower(m) AS email FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}')) AS m FROM documents WHERE text IS NOT NULL)""")
+def document_emails(spark, d) -> DataFrame:
+    """The e-mail addresses of the documents' own texts."""
+    return T.table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(X.emails(F.col("text"))).alias("email"))
+
+
+@query(r"""SELECT DISTINCT page_id, lower(m) AS link FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)href="([^"]*)"', 1)) AS m FROM pages WHERE html IS NOT NULL) WHERE m <> ''""")
+def page_links(spark, d) -> DataFrame:
+    """What the pages link to."""
+    found = F.regexp_extract_all(F.col("html"), F.lit('(?i)href="([^"]*)"'), 1)
+    return T.table(spark, d, "pages").filter("html is not null").select("page_id", F.explode(F.array_distinct(F.transform(F.filter(found, lambda x: x != ""), lambda x: F.lower(x)))).alias("link"))
