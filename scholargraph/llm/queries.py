@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholargraph.llm import decontaminate, host_rules, licences, line_spread, packing, quality_fm, sharding, simhash, substring, toxicity
+from scholargraph.llm import conversation_trie, decontaminate, host_rules, licences, line_spread, packing, quality_fm, sharding, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 OP5_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce(text, '') AS text FROM documents
@@ -119,6 +123,45 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM marked GROUP BY doc_id
 """
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
+), keyed AS (
+  SELECT c, turn, substr(sha256(strlen(r) || ':' || r || x), 1, 32) AS k,
+         CAST(len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS w FROM t
+), ordered AS (
+  SELECT c, k, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS i FROM keyed
+), h AS (  -- crc32, bit by bit
+  SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+         lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+           lambda v, u: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT c FROM keyed)
+), rebuilt AS (
+  SELECT c, k, w, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d FROM (
+    SELECT h.c, k, w, 0 AS own, i FROM h JOIN ordered o ON o.c = h.c - h.c % 20 AND i <= h
+    UNION ALL SELECT h.c, k, w, 1, i FROM h JOIN ordered o ON o.c = h.c AND i > h)
+), paths AS (
+  SELECT c, d, w, string_agg(k, '/') OVER (PARTITION BY c ORDER BY d) AS p FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM h
+), lengths AS (
+  SELECT c, max(d) AS len FROM paths GROUP BY c
+), nodes AS (
+  SELECT p, d, min(paths.c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+         sha256(coalesce(string_agg(paths.c::VARCHAR, ',' ORDER BY paths.c) FILTER (WHERE len = d), '')) AS ends_sha256
+  FROM paths JOIN lengths ON lengths.c = paths.c GROUP BY p, d
+), families AS (
+  SELECT n.*, left(p, greatest(33 * (d - 1) - 1, 0)) AS up, EXISTS (SELECT 1 FROM nodes m WHERE m.d = n.d + 1 AND left(m.p, greatest(33 * n.d - 1, 0)) = n.p) AS inner_node FROM nodes n
+), children AS (
+  SELECT up, d - 1 AS d, count(*) AS n FROM families WHERE d > 0 GROUP BY ALL
+), under AS (
+  SELECT a AS d, left(p, greatest(33 * a - 1, 0)) AS p, count(*) FILTER (WHERE NOT inner_node) AS n_leaves, sum((n_convs - 1) * w) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM families) GROUP BY ALL
+)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children,
+       CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM families f LEFT JOIN nodes q ON q.d = f.d - 1 AND q.p = f.up LEFT JOIN children c ON c.d = f.d AND c.up = f.p JOIN under u ON u.d = f.d AND u.p = f.p
+"""
+
 
 def queries() -> dict:
     return {
@@ -132,8 +175,9 @@ def queries() -> dict:
         "op8_genetic_packing": op8_genetic_packing,
         "op9_phrase_automata": op9_phrase_automata,
         "op10_licence_scan": op10_licence_scan,
+        "op12_conversation_trie": op12_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_host_rules": OP5_SQL, "op6_line_spread": OP6_SQL}
+    return {"op5_host_rules": OP5_SQL, "op6_line_spread": OP6_SQL, "op12_conversation_trie": OP12_SQL}
