@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholargraph.llm import conversation_trie, decontaminate, host_rules, licences, line_spread, packing, quality_fm, sharding, simhash, substring, toxicity
+from scholargraph.llm import conversation_trie, decontaminate, host_rules, licences, line_spread, packing, quality_fm, run_index, sharding, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.remove_matches(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP5_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce(text, '') AS text FROM documents
@@ -176,6 +181,7 @@ def queries() -> dict:
         "op9_phrase_automata": op9_phrase_automata,
         "op10_licence_scan": op10_licence_scan,
         "op12_conversation_trie": op12_conversation_trie,
+        "op13_run_index": op13_run_index,
     }
 
 

@@ -33,17 +33,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as they were needed."""
+    """Powers of a base and of its inverse modulo 2**64, as far as they were needed."""
 
-    def __init__(self):
+    def __init__(self, base: int = _BASE):
+        self.base = base
         self.up = self.down = np.empty(0, np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, SHARD_BYTES + (SHARD_BYTES >> 2))
-            inverse = pow(_BASE, -1, 1 << 64)
+            inverse = pow(self.base, -1, 1 << 64)
             ones = np.ones(size, np.uint64)
-            ones[1:] = np.uint64(_BASE)
+            ones[1:] = np.uint64(self.base)
             self.up = np.cumprod(ones)
             ones[1:] = np.uint64(inverse)
             self.down = np.cumprod(ones)
