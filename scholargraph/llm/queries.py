@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholargraph.llm import conversation_trie, decontaminate, host_rules, licences, line_spread, packing, quality_fm, run_index, sharding, simhash, substring, toxicity
+from scholargraph.llm import collocations, conversation_trie, decontaminate, host_rules, licences, line_spread, packing, quality_fm, run_index, sharding, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -128,6 +132,31 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM marked GROUP BY doc_id
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, list_filter(string_split_regex(x, '[\x20\x09]+'), lambda w: w <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), phrases AS (
+  SELECT lang, m, w[i : i + m - 1] AS p, count(*) AS f FROM places, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), cuts AS (
+  SELECT q.lang, q.m, q.p, q.f AS a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * q.f // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM phrases) q JOIN phrases x ON x.lang = q.lang AND x.p = q.p[1:k] JOIN phrases y ON y.lang = q.lang AND y.p = q.p[k + 1:q.m]
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, p[s : s + k - 1] AS p, max(f) AS most FROM (SELECT lang, m, p, f, k, unnest(range(1, m - k + 2)) AS s FROM phrases, (SELECT unnest([2, 3]) AS k) WHERE k < m) GROUP BY ALL
+), left_over AS (
+  SELECT c.*, array_to_string(c.p, ' ') AS phrase FROM lowest c LEFT JOIN inside i ON i.lang = c.lang AND i.p = c.p WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over
+)
+SELECT r.lang, r.rank, phrase, a, l, r.r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
 OP12_SQL = r"""
 WITH t AS (
   SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
@@ -180,10 +209,11 @@ def queries() -> dict:
         "op8_genetic_packing": op8_genetic_packing,
         "op9_phrase_automata": op9_phrase_automata,
         "op10_licence_scan": op10_licence_scan,
+        "op11_collocations": op11_collocations,
         "op12_conversation_trie": op12_conversation_trie,
         "op13_run_index": op13_run_index,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_host_rules": OP5_SQL, "op6_line_spread": OP6_SQL, "op12_conversation_trie": OP12_SQL}
+    return {"op5_host_rules": OP5_SQL, "op6_line_spread": OP6_SQL, "op11_collocations": OP11_SQL, "op12_conversation_trie": OP12_SQL}
