@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from scholargraph.llm.substring import SHARD_BYTES, Powers, _mix
 
-#: Bytes of a match that is removed, and of the grams that serve as anchors.
-MATCH, GRAM = 400, 128
+#: Bytes of a match that is removed, of the grams that serve as anchors, and grams of which one is an anchor.
+MATCH, GRAM, WIDTH = 400, 128, 91
 #: Bytes of text in a bucket of documents and in an index (on average).
-BUCKET_BYTES, SHARD_TEXT, BLOCK_BYTES = 8 << 20, 2 << 20, 3 << 20
+BUCKET_BYTES, SHARD_TEXT, BLOCK_BYTES = 8 << 20, 2 << 20, 1 << 19
 #: Places of an anchor above which its matches are told apart before any text is sent.
 HOT = 2000
 
@@ -42,34 +42,57 @@ class Texts:
         np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
         return total, down
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, start, n): the anchors, each with the run of n matches' starts for which it stands.
-
-        The anchor of MATCH consecutive bytes is their gram of smallest hash, the first of equal ones; so equal
-        stretches of bytes have equal anchors, at equal places inside.
-        """
-        grams = len(self.raw) - GRAM + 1
-        if grams < MATCH - GRAM + 1:
-            return (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-        h = _mix((self.total[GRAM:] - self.total[: grams]) * self.down[:grams])
-        bits = np.uint64(max(22, len(self.raw).bit_length()))
-        ranked = (h >> bits << bits) | np.arange(grams, dtype=np.uint64)
-        width = MATCH - GRAM + 1
-        rows = -(-grams // width)
+    def _lowest(self, ranked: np.ndarray, width: int) -> np.ndarray:
+        """The lowest of each `width` consecutive ranks."""
+        rows = -(-len(ranked) // width)
         padded = np.full(rows * width, np.iinfo(np.uint64).max)
-        padded[:grams] = ranked
+        padded[: len(ranked)] = ranked
         padded = padded.reshape(rows, width)
         ahead = np.minimum.accumulate(padded, axis=1).ravel()
         behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-        starts = grams - width + 1
-        low = np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts])
-        at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        whole = np.arange(starts) - self.first[self.doc[:starts]] + MATCH <= self.size[self.doc[:starts]]
-        s = np.flatnonzero(whole)
+        n = max(len(ranked) - width + 1, 0)
+        return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+    def _ranked(self) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+        """Hashes of all grams, and these with the gram's place as last bits: equal grams rank by place."""
+        if not hasattr(self, "grams"):
+            n = max(len(self.raw) - GRAM + 1, 0)
+            h = _mix((self.total[GRAM : GRAM + n] - self.total[:n]) * self.down[:n])
+            bits = np.uint64(max(22, len(self.raw).bit_length()))
+            self.grams = (h, (h >> bits << bits) | np.arange(n, dtype=np.uint64), (np.uint64(1) << bits) - np.uint64(1))
+        return self.grams
+
+    def _whole(self, n: int, size: int) -> np.ndarray:
+        """Whether `size` bytes from each of the first n places are inside one text."""
+        return np.arange(n) - self.first[self.doc[:n]] + size <= self.size[self.doc[:n]]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, place): the anchors. Of WIDTH consecutive grams the one of smallest hash, the first of equal ones, is
+        an anchor; so equal stretches of bytes have equal anchors, at equal places inside."""
+        h, ranked, mask = self._ranked()
+        low = self._lowest(ranked, WIDTH)
+        at = (low[self._whole(len(low), WIDTH + GRAM - 1)] & mask).astype(np.int64)
+        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+        return h[at], at
+
+    def runs(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, start, n): runs of n consecutive starts of matches, of which all anchors are `known`, by the smallest
+        anchor of the match. Where another place holds the same bytes, it has the same anchors; so all matches that have
+        another place are in these runs if `known` are the anchors of two places or more."""
+        h, ranked, mask = self._ranked()
+        low = self._lowest(ranked, WIDTH)
+        inside, starts = MATCH - GRAM - WIDTH + 2, len(ranked) - (MATCH - GRAM)
+        if starts <= 0:
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        strange = ~np.isin(h[(low[first] & mask).astype(np.int64)], known)
+        bad = np.concatenate([[0], np.cumsum(np.repeat(strange, np.diff(np.append(first, len(low)))))])
+        s = np.flatnonzero(self._whole(starts, MATCH) & (bad[inside : inside + starts] == bad[:starts]))
         if not len(s):
-            return (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-        new = np.flatnonzero(np.append(True, (at[s][1:] != at[s][:-1]) | (s[1:] != s[:-1] + 1)))
-        return h[at[s[new]]], s[new], np.diff(np.append(new, len(s)))
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        at = (self._lowest(low, inside)[s] & mask).astype(np.int64)
+        new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)))
+        return h[at[new]], s[new], np.diff(np.append(new, len(s)))
 
     def hashes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits that tell the matches at `starts`."""
@@ -120,8 +143,8 @@ class RunIndex:
         n = len(words)
         order = np.argsort(words)
         tied = words[order][1:] == words[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.maximum.accumulate(np.where(np.append(True, ~tied), np.arange(n), 0))
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(np.append(True, ~tied), np.arange(n, dtype=np.int32), 0))
         step = 8
         while True:
             same = np.append(tied, False) | np.append(False, tied)
@@ -243,9 +266,9 @@ def _anchors(docs: pa.Table, side: pa.Table) -> pa.Table:
     bucket."""
     bucket, found, weights = Bucket(docs, side), [], []
     for x, texts in _shards(bucket.texts):
-        h, s, _ = texts.anchors()
+        h, at = texts.anchors()
         found.append(h)
-        weights.append(bucket.copies[x + texts.doc[s]])
+        weights.append(bucket.copies[x + texts.doc[at]])
     h, which = np.unique(_cat(found, np.uint64), return_inverse=True)
     n = np.bincount(which, _cat(weights, np.int64), len(h)).astype(np.int64)
     return pa.table({"p": pa.array(np.full(len(h), bucket.p, np.int64)), "h": pa.array(h.view(np.int64)), "n": pa.array(n)})
@@ -259,17 +282,16 @@ def _recurring(table: pa.Table, most: int) -> pa.Table:
     return pa.table({"p": pa.array(_long(table, "p")[again]), "h": pa.array(_long(table, "h")[again]), "hot": pa.array(total[again] > most)})
 
 
-def _hot_runs(texts: Texts, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the matches whose anchor is hot, and the numbers of their texts."""
-    h, s, n = texts.anchors()
-    is_hot = np.isin(h, hot)
-    starts = spread(s[is_hot], n[is_hot])
-    return starts, texts.doc[starts]
+def _known(side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors that recur, and the hot ones of them."""
+    routed = _having(side, "h")
+    h = _long(routed, "h").view(np.uint64)
+    return np.unique(h), np.unique(h[routed.column("hot").to_numpy(zero_copy_only=False).astype(bool)])
 
 
-def _wanted(side: pa.Table, hot: bool) -> np.ndarray:
-    routed = _having(side, "h")
-    return np.unique(_long(routed, "h")[routed.column("hot").to_numpy(zero_copy_only=False).astype(bool) == hot]).view(np.uint64)
+def _all_starts(texts: Texts) -> np.ndarray:
+    n = len(texts.raw) - MATCH + 1
+    return np.flatnonzero(texts._whole(n, MATCH)) if n > 0 else np.empty(0, np.int64)
 
 
 def _of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -279,51 +301,52 @@ def _of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-_STRETCH = "r long, p long, h long, k1 long, k2 long, start long, n long, text binary, w1 array<long>, w2 array<long>, wn array<long>"
+_STRETCH = "r long, p long, h long, k1 long, k2 long, start long, n long, text binary, w1 array<long>, w2 array<long>, wn array<long>, wk array<long>"
 
 
 def _stretches(docs: pa.Table, side: pa.Table, shards: int) -> pa.Table:
-    """The stretches of bytes that recurring anchors stand for; of hot anchors, hashes of their matches instead."""
-    bucket, cold, hot = Bucket(docs, side), _wanted(side, False), _wanted(side, True)
-    rows: dict[str, list] = {c: [] for c in ("r", "h", "k1", "k2", "start", "n", "text", "w1", "w2", "wn")}
-    w1, w2, wn = [], [], []
-    for x, texts in _shards(bucket.texts if len(cold) or len(hot) else []):
-        h, s, n = texts.anchors()
-        sent = np.flatnonzero(np.isin(h, cold) & (bucket.copies[x + texts.doc[s]] > 0))
-        doc = texts.doc[s[sent]]
+    """The stretches of bytes around recurring anchors; of hot anchors, hashes of their matches instead, each once with
+    its places (wn) and the number of the first text that holds it (wk)."""
+    bucket, (known, hot) = Bucket(docs, side), _known(side)
+    rows: dict[str, list] = {c: [] for c in ("r", "h", "k1", "k2", "start", "n", "text", "w1", "w2", "wn", "wk")}
+    w1, w2, wn, wk = [], [], [], []
+    for x, texts in _shards(bucket.texts if len(known) else []):
+        h, s, n = texts.runs(known)
+        is_hot, doc = np.isin(h, hot), x + texts.doc[s]
         raw = texts.raw.tobytes()
-        for i, d in zip(sent.tolist(), doc.tolist()):
-            a, key = int(s[i]), bucket.keys[x + d]
-            values = (int(h[i] % np.uint64(shards)), int(h[i].view(np.int64)), *key, a - int(texts.first[d]), int(bucket.copies[x + d]), raw[a : a + int(n[i]) + MATCH - 1], None, None, None)
+        for i in np.flatnonzero(~is_hot & (bucket.copies[doc] > 0)).tolist():
+            a, d = int(s[i]), int(doc[i])
+            values = (int(h[i] % np.uint64(shards)), int(h[i].view(np.int64)), *bucket.keys[d], a - int(texts.first[d - x]), int(bucket.copies[d]), raw[a : a + int(n[i]) + MATCH - 1], None, None, None, None)
             for c, v in zip(rows.values(), values):
                 c.append(v)
-        is_hot = np.isin(h, hot)
         starts = spread(s[is_hot], n[is_hot])
         if len(starts):
             a, b = texts.hashes(starts)
             w1.append(a)
             w2.append(b)
-            wn.append(bucket.copies[x + texts.doc[starts]])
+            wk.append(x + texts.doc[starts])
+            wn.append(bucket.copies[wk[-1]])
     if w1:
-        pairs, which = np.unique(_of_pairs(_cat(w1, np.uint64), _cat(w2, np.uint64)), return_inverse=True)
+        pairs, first, which = np.unique(_of_pairs(_cat(w1, np.uint64), _cat(w2, np.uint64)), return_index=True, return_inverse=True)
         n = np.bincount(which, _cat(wn, np.int64), len(pairs)).astype(np.int64)
+        of = _cat(wk, np.int64)[first]
         to = (pairs["a"].view(np.uint64) % np.uint64(shards)).astype(np.int64)
         by = np.argsort(to, kind="stable")
         edge = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1]))
         for x, y in zip(edge, np.append(edge[1:], len(by))):
             part = by[x:y]
-            for c, v in zip(rows.values(), (int(to[part[0]]), None, None, None, None, None, None, pairs["a"][part], pairs["b"][part], n[part])):
+            for c, v in zip(rows.values(), (int(to[part[0]]), *[None] * 6, pairs["a"][part], pairs["b"][part], n[part], of[part])):
                 c.append(v)
-    kinds = dict(text=pa.binary(), w1=pa.list_(pa.int64()), w2=pa.list_(pa.int64()), wn=pa.list_(pa.int64()))
+    kinds = dict(text=pa.binary(), **{c: pa.list_(pa.int64()) for c in ("w1", "w2", "wn", "wk")})
     out = {c: pa.array(v, kinds.get(c, pa.int64())) for c, v in rows.items()}
     return pa.table({"r": out.pop("r"), "p": pa.array(np.full(len(rows["r"]), bucket.p, np.int64)), **out})
 
 
 def _recurring_matches(table: pa.Table) -> pa.Table:
-    """(p, w1, w2, owner): of the hot anchors' matches those that have two places or more, for each bucket that holds
-    them; the first of these buckets sends the bytes."""
+    """(p, w1, w2, k, owner): of the hot anchors' matches those that have two places or more, for each bucket that holds
+    them, with the number of a text there; the first of these buckets sends the bytes."""
     rows = _having(table, "w1")
-    lists = [np.concatenate([x.values.to_numpy() for x in rows.column(c)]) if len(rows) else np.empty(0, np.int64) for c in ("w1", "w2", "wn")]
+    lists = [np.concatenate([x.values.to_numpy() for x in rows.column(c)]) if len(rows) else np.empty(0, np.int64) for c in ("w1", "w2", "wn", "wk")]
     size = np.array([len(x) for x in rows.column("w1")], np.int64)
     p = np.repeat(_long(rows, "p"), size)
     pairs, which = np.unique(_of_pairs(lists[0], lists[1]), return_inverse=True)
@@ -331,28 +354,29 @@ def _recurring_matches(table: pa.Table) -> pa.Table:
     first = np.full(len(pairs), np.iinfo(np.int64).max)
     np.minimum.at(first, which, p)
     again = total[which] > 1
-    return pa.table({"p": pa.array(p[again]), "w1": pa.array(lists[0][again]), "w2": pa.array(lists[1][again]), "owner": pa.array((first[which] == p)[again])})
+    return pa.table({"p": pa.array(p[again]), "w1": pa.array(lists[0][again]), "w2": pa.array(lists[1][again]), "k": pa.array(lists[3][again]), "owner": pa.array((first[which] == p)[again])})
 
 
 def _match_bytes(docs: pa.Table, side: pa.Table, shards: int) -> pa.Table:
     """(r, text): the bytes of the matches that the bucket is asked for; consecutive ones come as one stretch."""
     asked, out = _having(side, "w1"), []
     if len(asked):
-        bucket, hot = Bucket(docs, side), _wanted(side, True)
+        bucket = Bucket(docs, side)
         left = set(_key(asked, "w1", "w2"))
-        for _, texts in _shards(bucket.texts):
-            starts, doc = _hot_runs(texts, hot)
+        for _, texts in _shards([bucket.texts[k] for k in np.unique(_long(asked, "k")).tolist()]):
+            starts = _all_starts(texts)
             a, b = texts.hashes(starts)
             take = []
-            for i, key in enumerate(zip(a.view(np.int64).tolist(), b.view(np.int64).tolist())):
+            for i in np.flatnonzero(np.isin(a.view(np.int64), np.array([w for w, _ in left], np.int64))).tolist():
+                key = (int(a[i].view(np.int64)), int(b[i].view(np.int64)))
                 if key in left:
                     left.discard(key)
                     take.append(i)
             raw, take = texts.raw.tobytes(), np.array(take, np.int64)
-            edge = np.flatnonzero(np.append(True, (np.diff(starts[take]) != 1) | (np.diff(doc[take]) != 0))) if len(take) else take
+            at = starts[take]
+            edge = np.flatnonzero(np.append(True, np.diff(at) != 1)) if len(take) else take
             for x, y in zip(edge, np.append(edge[1:], len(take))):
-                s = int(starts[take[x]])
-                out.append((int(a[take[x]] % np.uint64(shards)), raw[s : s + int(y - x) + MATCH - 1]))
+                out.append((int(a[take[x]] % np.uint64(shards)), raw[int(at[x]) : int(at[x]) + int(y - x) + MATCH - 1]))
     return pa.table({"r": pa.array([r for r, _ in out], pa.int64()), "text": pa.array([t for _, t in out], pa.binary())})
 
 
@@ -420,12 +444,15 @@ def _kept(docs: pa.Table, side: pa.Table) -> pa.Table:
     texts = docs.column("text").take(pa.array(list(at.values()), pa.int64())).to_pylist() if at else []
     found = _having(side, "w1")
     if len(found):
-        hot, confirmed = _wanted(side, True), np.unique(_of_pairs(_long(found, "w1"), _long(found, "w2")))
-        order = list(at)
+        confirmed = set(_key(found, "w1", "w2"))
+        ones, order = np.unique(_long(found, "w1")).view(np.uint64), list(at)
         for x, shard in _shards(texts):
-            starts, doc = _hot_runs(shard, hot)
-            gone = np.isin(_of_pairs(*shard.hashes(starts)), confirmed)
-            for s, d in zip((starts - shard.first[doc])[gone].tolist(), doc[gone].tolist()):
+            starts = _all_starts(shard)
+            a, b = shard.hashes(starts)
+            near = np.flatnonzero(np.isin(a, ones))
+            near = near[[key in confirmed for key in zip(a[near].view(np.int64).tolist(), b[near].view(np.int64).tolist())]] if len(near) else near
+            doc = shard.doc[starts[near]]
+            for s, d in zip((starts[near] - shard.first[doc]).tolist(), doc.tolist()):
                 spans.setdefault(order[x + d], []).extend((s, s + MATCH))
     done = {}
     for key, text in zip(at, texts):
@@ -446,9 +473,9 @@ def remove_matches(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_text
     A byte goes if MATCH bytes that cover it also stand somewhere else, in any document or in the same one, overlapping
     or not; both places lose it. Matches are judged on the input and never cross documents.
 
-    1. Documents are dealt by hash into buckets of about `bucket_bytes`. Each MATCH bytes have an anchor (`anchors`);
-       equal bytes have equal anchors, so only the stretches around anchors of two places or more can match.
-    2. Those stretches meet by anchor in shards. Each shard builds a run-length index of the distinct ones, two of
+    1. Documents are dealt by hash into buckets of about `bucket_bytes`. Each MATCH bytes hold anchors (`anchors`);
+       equal bytes hold equal ones, so only stretches whose anchors all have two places or more can match.
+    2. Those stretches meet in shards, by their smallest anchor. Each shard builds a run-length index of the distinct ones, two of
        those that stand in several places, and streams their matching statistics: what reaches MATCH is marked.
     3. An anchor of over `most` places would fill a shard with its surroundings. Of these, the matches (MATCH bytes) are
        told apart by 128-bit hashes, added up a bucket before they are sent; of those that stand twice one bucket sends
@@ -477,8 +504,8 @@ def remove_matches(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_text
     routed = anchors.groupBy(F.pmod("h", F.lit(shards)).alias("r")).applyInArrow(lambda t: _recurring(t, most), "p long, h long, hot boolean")
     known = together(held, routed)
     sent = dealt.cogroup(known.groupBy("p")).applyInArrow(lambda d, s: _stretches(d, s, shards), _STRETCH)
-    matches = sent.groupBy("r").applyInArrow(_recurring_matches, "p long, w1 long, w2 long, owner boolean")
-    asked = together(known, matches.filter("owner").select("p", "w1", "w2"))
+    matches = sent.groupBy("r").applyInArrow(_recurring_matches, "p long, w1 long, w2 long, k long, owner boolean")
+    asked = together(held, matches.filter("owner").select("p", "w1", "w2", "k"))
     hot = dealt.cogroup(asked.groupBy("p")).applyInArrow(lambda d, s: _match_bytes(d, s, shards), "r long, text binary")
     found = sent.groupBy("r").cogroup(hot.groupBy("r")).applyInArrow(_matches, "a long, b long, hot boolean, spans array<long>")
     marks = found.groupBy("a", "b", "hot").agg(F.collect_list("spans").alias("spans"))
@@ -486,5 +513,4 @@ def remove_matches(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, shard_text
         matches.select("p", F.col("w1").alias("a"), F.col("w2").alias("b"), F.lit(True).alias("hot")))
     own = holders.join(marks, ["a", "b", "hot"]).select(
         "p", *[F.when(~F.col("hot"), F.col(c)).alias(k) for c, k in (("a", "k1"), ("b", "k2"), ("spans", "spans"))], *[F.when(F.col("hot"), F.col(c)).alias(k) for c, k in (("a", "w1"), ("b", "w2"))])
-    side = together(own, routed.filter("hot"))
-    return dealt.cogroup(side.groupBy("p")).applyInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return dealt.cogroup(own.groupBy("p")).applyInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
