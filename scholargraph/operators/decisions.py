@@ -6,9 +6,11 @@ own rows, so a log of any length is folded in parallel by key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholargraph.operators.lineage import staged
+
 #: Decisions that give a mention an author, and those that take it away.
 GIVES, TAKES = ("ACCEPT", "CREATE", "SPLIT"), ("UNLINK",)
 
@@ -26,32 +28,57 @@ def new_author(seq: str = "seq", mention: str = "mention"):
     return F.concat(F.lit("a"), F.substring(F.sha2(F.concat_ws("|", F.col(mention).cast("string"), F.col(seq).cast("string")), 256), 1, 16))
 
 
-def judged_log(log: DataFrame) -> DataFrame:
-    """log(seq, op, mention, author, actor) with `target` (the author a row gives), `outcome` and `reason`.
+def _outcome() -> tuple[Column, Column]:
+    """(reason, moves) of a decision, from what its author's lock, its bar, and the author held at the moment say."""
+    op, same = F.col("op"), F.col("target").eqNullSafe(F.col("held"))
+    linking = (
+        F.when(same, F.lit(None)).when(F.col("was_locked"), "LOCKED").when(F.col("was_barred") & (F.col("actor") != "MANUAL"), "NOT_SAME")
+        .when(F.col("held_locked"), "HELD_LOCKED"))
+    leaving = F.when((op == "SPLIT") & F.col("held").isNull(), "NOTHING_HELD").when(F.col("held_locked"), "HELD_LOCKED")
+    reason = F.when(op == "ACCEPT", linking).when(op.isin("SPLIT", *TAKES), leaving)
+    idle = ((op == "ACCEPT") & same) | ((op == "CREATE") & F.col("held").isNotNull()) | (op.isin(*TAKES) & F.col("held").isNull())
+    return reason, F.coalesce(op.isin(*GIVES, *TAKES) & reason.isNull() & ~idle, F.lit(False))
 
-    ACCEPT links a mention to an author, CREATE and SPLIT to a new one, UNLINK to none; NOT_SAME rules an author out
-    for a mention, LOCK and UNLOCK close and open an author. A row is REFUSED if its author is LOCKED at that moment,
-    or if another actor than MANUAL links what NOT_SAME rules out (NOT_SAME). Locks of the author that a mention has
-    at the moment are judged in `memberships`.
+
+def judged_log(log: DataFrame) -> DataFrame:
+    """log(seq, op, mention, author, actor) with `target` (the author a row gives), `held` (the author its mention has
+    at that moment), `outcome`, `reason`, and whether it `moves` the mention.
+
+    ACCEPT links a mention to an author, CREATE to a new one if it has none, SPLIT from its author to a new one, UNLINK
+    to none; NOT_SAME rules an author out for a mention, LOCK and UNLOCK close and open an author. REFUSED are: links to
+    an author who is LOCKED, or whom NOT_SAME rules out unless the actor is MANUAL; any move off a held author who is
+    locked (HELD_LOCKED); SPLIT of a mention without an author (NOTHING_HELD). A link to the author held already, and
+    UNLINK where none is held, change nothing and are never refused.
+
+    What a mention holds depends on the outcomes of its earlier rows, and these on the locks of what it held then. All
+    rows are judged at once from the outcomes of the round before, until a round changes none. A round settles at least
+    the next row of every mention; rows after a wrong one are right as soon as both lead to one author, so rounds are
+    as many as the longest run of rows that truly hang on each other, not as many as a mention has rows. Nothing is
+    collected by mention or author: each step is a window over sorted rows.
     """
-    target = F.when(F.col("op").isin("CREATE", "SPLIT"), new_author()).otherwise(F.col("author").cast("string"))
+    target = F.when(F.col("op").isin("CREATE", "SPLIT"), new_author()).when(~F.col("op").isin(*TAKES), F.col("author").cast("string"))
     rows = log.withColumn("target", target)
-    locks = rows.filter(F.col("op").isin("LOCK", "UNLOCK")).select("seq", "target", (F.col("op") == "LOCK").alias("locked"))
+    locks = rows.filter(F.col("op").isin("LOCK", "UNLOCK")).select("seq", F.col("target").alias("held"), (F.col("op") == "LOCK").alias("locked"))
     bars = rows.filter("op = 'NOT_SAME'").select("seq", "mention", "target", F.lit(True).alias("barred"))
-    seen = _as_of(rows, locks, ["target"], "locked", "was_locked")
-    seen = _as_of(seen, bars, ["mention", "target"], "barred", "was_barred")
-    reason = F.when((F.col("op") == "ACCEPT") & F.col("was_locked"), "LOCKED").when((F.col("op") == "ACCEPT") & F.col("was_barred") & (F.col("actor") != "MANUAL"), "NOT_SAME")
-    return seen.select(*log.columns, "target", F.when(reason.isNull(), "DONE").otherwise("REFUSED").alias("outcome"), reason.alias("reason"))
+    seen = _as_of(rows, locks.withColumnRenamed("held", "target"), ["target"], "locked", "was_locked")
+    seen = staged(_as_of(seen, bars, ["mention", "target"], "barred", "was_barred").withColumn("moves", F.col("op").isin(*GIVES, *TAKES)), "decisions")
+    before = Window.partitionBy("mention").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        moved = F.when(F.col("moves"), F.struct(F.when(F.col("op").isin(*GIVES), F.col("target")).alias("author")))
+        holding = seen.withColumn("held", F.last(moved, ignorenulls=True).over(before)["author"])
+        held = _as_of(holding, locks, ["held"], "locked", "held_locked")
+        reason, moves = _outcome()
+        now = staged(held.withColumn("reason", reason).withColumn("moves_", moves), "decisions")
+        if now.filter("moves <> moves_").isEmpty():
+            return now.select(*log.columns, "target", "held", F.when(F.col("reason").isNull(), "DONE").otherwise("REFUSED").alias("outcome"), "reason", "moves")
+        seen = now.drop("held", "held_locked", "reason", "moves").withColumnRenamed("moves_", "moves")
 
 
 def memberships(log: DataFrame) -> DataFrame:
     """seq, mention, author, status, until of every link that the log makes: ACCEPTED for the one in force, SUPERSEDED
-    (with the seq that ended it) for the others. Refused rows change nothing, nor does a link to the author that the
-    mention has already."""
-    done = judged_log(log).filter((F.col("outcome") == "DONE") & F.col("op").isin(*GIVES, *TAKES))
+    (with the seq that ended it) for the others. Refused rows change nothing, nor do those that do not move a mention."""
     w = Window.partitionBy("mention").orderBy("seq")
-    moved = done.withColumn("had", F.lag(F.when(F.col("op").isin(*GIVES), F.col("target"))).over(w)).filter(~((F.col("op") == "ACCEPT") & F.col("target").eqNullSafe(F.col("had"))))
-    spans = moved.withColumn("until", F.lead("seq").over(w)).filter(F.col("op").isin(*GIVES))
+    spans = judged_log(log).filter("moves").withColumn("until", F.lead("seq").over(w)).filter(F.col("op").isin(*GIVES))
     return spans.select("seq", "mention", F.col("target").alias("author"), F.when(F.col("until").isNull(), "ACCEPTED").otherwise("SUPERSEDED").alias("status"), "until")
 
 

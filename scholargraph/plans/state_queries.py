@@ -193,10 +193,21 @@ def catalogue_after_scan(spark, d) -> DataFrame:
 # A decision log: a line is a decision on its supplier as mention and its part's group as author.
 LOG_SQL = """lg AS (SELECT l_orderkey * 100 + l_linenumber * 10 + min(l_suppkey) % 10 AS seq, min(l_suppkey) AS mention, min(l_partkey) % 40 AS author, CASE min(l_partkey) % 11 WHEN 0 THEN 'CREATE' WHEN 1 THEN 'SPLIT' WHEN 2 THEN 'UNLINK' WHEN 3 THEN 'NOT_SAME' WHEN 4 THEN 'LOCK' WHEN 5 THEN 'UNLOCK' ELSE 'ACCEPT' END AS op,
  CASE WHEN min(l_returnflag) = 'A' THEN 'MANUAL' ELSE 'AUTO' END AS actor FROM lineitem GROUP BY l_orderkey, l_linenumber),
-t AS (SELECT *, CASE WHEN op IN ('CREATE', 'SPLIT') THEN 'a' || left(sha256(mention || '|' || seq), 16) ELSE CAST(author AS VARCHAR) END AS target FROM lg),
+t AS (SELECT *, CASE WHEN op IN ('CREATE', 'SPLIT') THEN 'a' || left(sha256(mention || '|' || seq), 16) WHEN op <> 'UNLINK' THEN CAST(author AS VARCHAR) END AS target FROM lg),
 seen AS (SELECT *, last_value(CASE WHEN op = 'LOCK' THEN TRUE WHEN op = 'UNLOCK' THEN FALSE END IGNORE NULLS) OVER (PARTITION BY target ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS locked,
- max(op = 'NOT_SAME') OVER (PARTITION BY mention, target ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS barred FROM t),
-jl AS (SELECT *, CASE WHEN op = 'ACCEPT' AND coalesce(locked, FALSE) THEN 'LOCKED' WHEN op = 'ACCEPT' AND coalesce(barred, FALSE) AND actor <> 'MANUAL' THEN 'NOT_SAME' END AS reason FROM seen)"""
+ max(op = 'NOT_SAME') OVER (PARTITION BY mention, target ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS barred, row_number() OVER (PARTITION BY mention ORDER BY seq) AS i FROM t),
+locks AS (SELECT target AS author, seq, op = 'LOCK' AS closed FROM t WHERE op IN ('LOCK', 'UNLOCK')),
+spans AS (SELECT author, seq AS a, coalesce(lead(seq) OVER (PARTITION BY author ORDER BY seq), 9e18) AS b, closed FROM locks),
+replay AS (  -- one row of every mention a step: what it holds, and what its next decision makes of that
+ SELECT mention, CAST(0 AS BIGINT) AS i, NULL::VARCHAR AS held, NULL::VARCHAR AS after, NULL::VARCHAR AS reason, FALSE AS moves, NULL::BIGINT AS seq FROM (SELECT DISTINCT mention FROM lg)
+ UNION ALL
+ SELECT mention, i, held, CASE WHEN moves THEN target ELSE held END, reason, moves, seq FROM (
+  SELECT *, reason IS NULL AND op IN ('ACCEPT', 'CREATE', 'SPLIT', 'UNLINK') AND NOT (op = 'ACCEPT' AND target IS NOT DISTINCT FROM held) AND NOT (op = 'CREATE' AND held IS NOT NULL) AND NOT (op = 'UNLINK' AND held IS NULL) AS moves FROM (
+   SELECT s.mention, s.i, s.seq, s.op, s.target, p.after AS held,
+    CASE WHEN op = 'ACCEPT' THEN CASE WHEN s.target IS NOT DISTINCT FROM p.after THEN NULL WHEN locked THEN 'LOCKED' WHEN barred AND actor <> 'MANUAL' THEN 'NOT_SAME' WHEN closed THEN 'HELD_LOCKED' END
+     WHEN op IN ('SPLIT', 'UNLINK') THEN CASE WHEN p.after IS NULL AND op = 'SPLIT' THEN 'NOTHING_HELD' WHEN closed THEN 'HELD_LOCKED' END END AS reason
+   FROM replay p JOIN seen s ON s.mention = p.mention AND s.i = p.i + 1 LEFT JOIN spans l ON l.author = p.after AND l.a < s.seq AND s.seq <= l.b))),
+jl AS (SELECT seen.*, r.held, r.reason, r.moves FROM seen JOIN replay r ON r.mention = seen.mention AND r.i = seen.i)"""
 
 
 def _log(spark, d) -> DataFrame:
@@ -206,13 +217,12 @@ def _log(spark, d) -> DataFrame:
     return g.select((F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("s") % 10).alias("seq"), F.col("s").alias("mention"), (F.col("p") % 40).alias("author"), op.alias("op"), F.when(F.col("f") == "A", "MANUAL").otherwise("AUTO").alias("actor"))
 
 
-@query(f"WITH {LOG_SQL} SELECT seq, op, mention, target, CASE WHEN reason IS NULL THEN 'DONE' ELSE 'REFUSED' END AS outcome, reason FROM jl")
+@query(f"WITH RECURSIVE {LOG_SQL} SELECT seq, op, mention, target, held, moves, CASE WHEN reason IS NULL THEN 'DONE' ELSE 'REFUSED' END AS outcome, reason FROM jl")
 def judged_decisions(spark, d) -> DataFrame:
-    return decisions.judged_log(_log(spark, d)).select("seq", "op", "mention", "target", "outcome", "reason")
+    return decisions.judged_log(_log(spark, d)).select("seq", "op", "mention", "target", "held", "moves", "outcome", "reason")
 
 
-@query(f"""WITH {LOG_SQL}, dn AS (SELECT * FROM jl WHERE reason IS NULL AND op IN ('ACCEPT', 'CREATE', 'SPLIT', 'UNLINK')), h AS (SELECT *, lag(CASE WHEN op <> 'UNLINK' THEN target END) OVER (PARTITION BY mention ORDER BY seq) AS had FROM dn),
-mv AS (SELECT * FROM h WHERE NOT (op = 'ACCEPT' AND target IS NOT DISTINCT FROM had)), sp AS (SELECT *, lead(seq) OVER (PARTITION BY mention ORDER BY seq) AS until FROM mv)
+@query(f"""WITH RECURSIVE {LOG_SQL}, sp AS (SELECT *, lead(seq) OVER (PARTITION BY mention ORDER BY seq) AS until FROM jl WHERE moves)
 SELECT seq, mention, target AS author, CASE WHEN until IS NULL THEN 'ACCEPTED' ELSE 'SUPERSEDED' END AS status, until FROM sp WHERE op <> 'UNLINK'""")
 def identity_memberships(spark, d) -> DataFrame:
     return decisions.memberships(_log(spark, d))
