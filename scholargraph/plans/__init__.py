@@ -6,6 +6,7 @@ from scholargraph.plans import (  # noqa: F401
     evidence_queries,
     library_queries,
     link_queries,
+    provenance_queries,
     resolve_queries,
     state_queries,
     stream_queries,
