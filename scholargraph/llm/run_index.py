@@ -11,18 +11,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholargraph.llm.substring import SHARD_BYTES, Powers, _mix
+from scholargraph.llm.substring import Powers, _mix
 
 #: Bytes of a match that is removed, of the grams that serve as anchors, and grams of which one is an anchor.
 MATCH, GRAM, WIDTH = 400, 128, 91
-#: Bytes of text in a bucket of documents and in an index (on average).
-BUCKET_BYTES, SHARD_TEXT, BLOCK_BYTES = 8 << 20, 2 << 20, 1 << 19
+#: Bytes of text in a bucket of documents (on average), of those that are hashed at a time, that one index shard has to
+#: its share (on average), and in one index.
+BUCKET_BYTES, SHARD_BYTES, SHARD_TEXT, BLOCK_BYTES = 4 << 20, 3 << 18, 1 << 20, 1 << 19
+#: Matches of a stretch that is sent for hot anchors, at most.
+LONG = 1 << 14
 #: Places of an anchor above which its matches are told apart before any text is sent.
 HOT = 2000
 
 _END = 0xFF  # never a byte of UTF-8
 _OTHER = 0x9E3779B185EBCA87
-_POWERS, _OTHER_POWERS = Powers(), Powers(_OTHER)
+_POWERS, _OTHER_POWERS = Powers(least=SHARD_BYTES + (SHARD_BYTES >> 2)), Powers(_OTHER, SHARD_BYTES + (SHARD_BYTES >> 2))
 
 
 class Texts:
@@ -123,7 +126,7 @@ class RunIndex:
         words = np.zeros(n, np.uint64)
         for j in range(8):
             words = (words << np.uint64(8)) | padded[j : j + n]
-        order, rank = self._sorted(words)
+        order, rank = self._sorted(padded, n)
         before = raw[order - 1]
         self.start = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
         size = np.diff(np.append(self.start, n))
@@ -138,24 +141,35 @@ class RunIndex:
         self.last = rank[np.cumsum(self.sizes + 1) - 1].astype(np.int64)
 
     @staticmethod
-    def _sorted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix array and its inverse, by doubling: only suffixes that are still tied are ordered again."""
-        n = len(words)
-        order = np.argsort(words)
-        tied = words[order][1:] == words[order][:-1]
+    def _sorted(padded: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix array and its inverse, by doubling: only suffixes that are still tied are ordered again.
+
+        Ranks and the place share one number, so that a plain sort orders the places too; first come five bytes.
+        """
+        bits = np.uint64(max(n + 1, 2).bit_length())
+        if bits > 21:
+            raise ValueError(f"an index of {n} bytes is too large")
+        place, mask = np.arange(n, dtype=np.uint64), (np.uint64(1) << bits) - np.uint64(1)
+        key = np.zeros(n, np.uint64)
+        for j in range(5):
+            key = (key << np.uint64(8)) | padded[j : j + n]
+        key = np.sort((key << bits) | place)
+        order = (key & mask).astype(np.int64)
+        key >>= bits
+        tied = key[1:] == key[:-1]
         rank = np.empty(n, np.int32)
         rank[order] = np.maximum.accumulate(np.where(np.append(True, ~tied), np.arange(n, dtype=np.int32), 0))
-        step = 8
+        step = 5
         while True:
-            same = np.append(tied, False) | np.append(False, tied)
-            rows = np.flatnonzero(same)
+            rows = np.flatnonzero(np.append(tied, False) | np.append(False, tied))
             if not len(rows):
                 return order, rank
             at = order[rows]
             far = at + step
-            key = (rank[at].astype(np.uint64) << np.uint64(32)) | np.where(far < n, rank[np.minimum(far, n - 1)] + 1, 0).astype(np.uint64)
-            by = np.argsort(key)
-            order[rows], key = at[by], key[by]
+            next_ = np.where(far < n, rank[np.minimum(far, n - 1)] + 1, 0).astype(np.uint64)
+            key = np.sort((((rank[at].astype(np.uint64) << bits) | next_) << bits) | at.astype(np.uint64))
+            order[rows] = (key & mask).astype(np.int64)
+            key >>= bits
             equal = np.append(False, key[1:] == key[:-1])
             rank[order[rows]] = rows[np.maximum.accumulate(np.where(equal, 0, np.arange(len(rows))))]
             tied = np.zeros(n - 1, bool)
@@ -289,6 +303,14 @@ def _known(side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h), np.unique(h[routed.column("hot").to_numpy(zero_copy_only=False).astype(bool)])
 
 
+def _among(h: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Places in `h` of any of the few hashes: by a table of their last bits first."""
+    table = np.zeros(1 << 20, bool)
+    table[(few & np.uint64(0xFFFFF)).astype(np.int64)] = True
+    near = np.flatnonzero(table[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+    return near[np.isin(h[near], few)]
+
+
 def _all_starts(texts: Texts) -> np.ndarray:
     n = len(texts.raw) - MATCH + 1
     return np.flatnonzero(texts._whole(n, MATCH)) if n > 0 else np.empty(0, np.int64)
@@ -367,7 +389,7 @@ def _match_bytes(docs: pa.Table, side: pa.Table, shards: int) -> pa.Table:
             starts = _all_starts(texts)
             a, b = texts.hashes(starts)
             take = []
-            for i in np.flatnonzero(np.isin(a.view(np.int64), np.array([w for w, _ in left], np.int64))).tolist():
+            for i in _among(a, _long(asked, "w1").view(np.uint64)).tolist():
                 key = (int(a[i].view(np.int64)), int(b[i].view(np.int64)))
                 if key in left:
                     left.discard(key)
@@ -376,18 +398,21 @@ def _match_bytes(docs: pa.Table, side: pa.Table, shards: int) -> pa.Table:
             at = starts[take]
             edge = np.flatnonzero(np.append(True, np.diff(at) != 1)) if len(take) else take
             for x, y in zip(edge, np.append(edge[1:], len(take))):
-                out.append((int(a[take[x]] % np.uint64(shards)), raw[int(at[x]) : int(at[x]) + int(y - x) + MATCH - 1]))
+                for z in range(x, y, LONG):  # a long run comes in pieces, each with all of its own matches
+                    out.append((int(a[take[z]] % np.uint64(shards)), raw[int(at[z]) : int(at[z]) + min(int(y - z), LONG) + MATCH - 1]))
     return pa.table({"r": pa.array([r for r, _ in out], pa.int64()), "text": pa.array([t for _, t in out], pa.binary())})
 
 
 def _blocks(groups: list[list[bytes]]) -> Iterator[list[bytes]]:
+    """The groups in blocks of about BLOCK_BYTES. A group has at most HOT places and its texts under 2 * MATCH bytes."""
     block, size = [], 0
     for group in groups:
-        block += group
-        size += sum(map(len, group))
-        if size >= BLOCK_BYTES:
+        own = sum(map(len, group))
+        if block and size + own > BLOCK_BYTES:
             yield block
             block, size = [], 0
+        block += group
+        size += own
     if block:
         yield block
 
@@ -449,7 +474,7 @@ def _kept(docs: pa.Table, side: pa.Table) -> pa.Table:
         for x, shard in _shards(texts):
             starts = _all_starts(shard)
             a, b = shard.hashes(starts)
-            near = np.flatnonzero(np.isin(a, ones))
+            near = _among(a, ones)
             near = near[[key in confirmed for key in zip(a[near].view(np.int64).tolist(), b[near].view(np.int64).tolist())]] if len(near) else near
             doc = shard.doc[starts[near]]
             for s, d in zip((starts[near] - shard.first[doc]).tolist(), doc.tolist()):

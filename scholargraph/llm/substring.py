@@ -35,13 +35,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Powers:
     """Powers of a base and of its inverse modulo 2**64, as far as they were needed."""
 
-    def __init__(self, base: int = _BASE):
-        self.base = base
+    def __init__(self, base: int = _BASE, least: int = SHARD_BYTES + (SHARD_BYTES >> 2)):
+        self.base, self.least = base, least
         self.up = self.down = np.empty(0, np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, SHARD_BYTES + (SHARD_BYTES >> 2))
+            size = max(n, self.least)
             inverse = pow(self.base, -1, 1 << 64)
             ones = np.ones(size, np.uint64)
             ones[1:] = np.uint64(self.base)
