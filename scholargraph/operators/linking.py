@@ -100,3 +100,16 @@ def mismatched(stored: DataFrame, derived: DataFrame, keys: list[str], value: st
     """keys, stored, derived of projections that do not agree with what they are derived from."""
     both = stored.select(*keys, F.col(value).alias("stored")).join(derived.select(*keys, F.col(value).alias("derived")), keys, "full_outer")
     return both.filter(~F.col("stored").eqNullSafe(F.col("derived")))
+
+
+def cited_papers(references: DataFrame, links: DataFrame, papers: DataFrame) -> DataFrame:
+    """reference_id, paper_id, by: the local papers that references(reference_id, citing_paper_id, target, doi) cite.
+
+    A reference cites a paper that links(target, paper_id) names, or whose DOI (papers(paper_id, doi)) it gives; a paper
+    that both find is found by LINK. The citing paper itself is left out. Two equi-joins and a union stand for one join
+    with OR, which would compare every reference with every paper.
+    """
+    by_link = references.filter("target IS NOT NULL").join(links.select("target", "paper_id").distinct(), "target").select("reference_id", "citing_paper_id", "paper_id", F.lit("LINK").alias("by"))
+    by_doi = references.filter("doi IS NOT NULL").join(papers.filter("doi IS NOT NULL").select("doi", "paper_id").distinct(), "doi").select("reference_id", "citing_paper_id", "paper_id", F.lit("DOI").alias("by"))
+    found = by_link.unionByName(by_doi).filter(~F.col("paper_id").eqNullSafe(F.col("citing_paper_id")))
+    return found.groupBy("reference_id", "paper_id").agg(F.max("by").alias("by"))

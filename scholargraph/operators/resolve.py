@@ -109,3 +109,65 @@ def similar_pairs(variants: DataFrame, papers: DataFrame, excluded: DataFrame, m
     left, right = papers.select(F.col("author_id").alias("left_id"), "paper_id"), papers.select(F.col("author_id").alias("right_id"), "paper_id")
     together = scored.join(left, "left_id").join(right, ["right_id", "paper_id"], "left_semi").select("left_id", "right_id").distinct()
     return scored.join(together, ["left_id", "right_id"], "left_anti").join(excluded, ["left_id", "right_id"], "left_anti").orderBy(F.desc("score"), "left_id", "right_id").limit(limit)
+
+
+def merged_into(merges: DataFrame) -> DataFrame:
+    """author_id, into: where every merged author has ended, over chains of merges(author_id, into); the last merge of
+    an author (seq) counts. Each round doubles the steps taken, so a chain of n merges takes log n rounds; a circle of
+    merges is an error."""
+    now = checkpointed(merges.groupBy("author_id").agg(F.max_by("into", "seq").alias("into")).filter("author_id <> into"))
+    for _ in range(40):
+        on = now.select(F.col("author_id").alias("into"), F.col("into").alias("beyond"))
+        stepped = checkpointed(now.join(on, "into", "left").select("author_id", F.coalesce("beyond", "into").alias("into"), F.col("beyond").isNotNull().alias("went")))
+        if stepped.filter("author_id = into").limit(1).count():
+            raise ValueError("merges run in a circle")
+        if stepped.filter("went").isEmpty():
+            return stepped.select("author_id", "into")
+        now = stepped.drop("went")
+    raise ValueError("merges run in a circle")
+
+
+def inherited_candidates(scored: DataFrame, mentions: DataFrame, accepted: DataFrame, merges: DataFrame, barred: DataFrame) -> DataFrame:
+    """Candidates scored(mention_id, paper_id, author_id, score, eligible) as earlier decisions leave them.
+
+    Authors that were merged (merges(seq, author_id, into, actor)) stand for the one they ended in; of several scores for
+    one author the best stays. What the run begins with is frozen: mentions that accepted(mention_id, author_id) resolves
+    leave, authors that another mention of the paper has leave (mentions(mention_id, paper_id, creator)), and pairs of
+    barred(mention_id, author_id) leave. A source creator of whom a manual merge moved a mention to an author is
+    eligible for that author ever after (`inherited`), whatever the score.
+    """
+    ends = merged_into(merges)
+
+    def settled(df: DataFrame) -> DataFrame:
+        return df.join(ends, "author_id", "left").withColumn("was", F.col("author_id")).withColumn("author_id", F.coalesce("into", "author_id")).drop("into")
+
+    held = checkpointed(settled(accepted).join(mentions, "mention_id"))
+    moved = held.join(merges.filter("actor = 'MANUAL'").select(F.col("author_id").alias("was")).distinct(), "was", "left_semi")
+    manual = moved.filter("creator IS NOT NULL").select("creator", "author_id").distinct().withColumn("inherited", F.lit(True))
+    live = settled(scored).groupBy("mention_id", "paper_id", "author_id").agg(F.max("score").alias("score"), F.bool_or("eligible").alias("eligible"))
+    live = live.join(held.select("mention_id"), "mention_id", "left_anti").join(held.select("paper_id", "author_id"), ["paper_id", "author_id"], "left_anti")
+    live = live.join(settled(barred).select("mention_id", "author_id"), ["mention_id", "author_id"], "left_anti")
+    known = live.join(mentions.select("mention_id", "creator"), "mention_id").join(manual, ["creator", "author_id"], "left")
+    return known.select("mention_id", "paper_id", "author_id", "score", (F.col("eligible") | F.coalesce("inherited", F.lit(False))).alias("eligible"), F.coalesce("inherited", F.lit(False)).alias("inherited"))
+
+
+def score_components(scored: DataFrame, keys: list[str], components: str = "components") -> DataFrame:
+    """keys, component, score: a row for each entry of a map of score components that counts (not null, not zero)."""
+    return scored.select(*keys, F.explode(components).alias("component", "score")).filter("score IS NOT NULL AND score <> 0")
+
+
+def upserted_components(stored: DataFrame, new: DataFrame, keys: list[str], replace: bool) -> DataFrame:
+    """The evidence rows (keys, component, score) in force and those that a rerun ends, by `status`.
+
+    With `replace` a rescored key loses all of its rows before it gets the new ones, as matches do: rows that change or
+    vanish are SUPERSEDED. Without, rows are only added and stored ones stay, as memberships do. The same rows again
+    change nothing. One full join by key and component; keys are not gathered.
+    """
+    value = [*keys, "component"]
+    again = new.select(*keys).distinct().withColumn("again", F.lit(True))
+    both = stored.select(*value, F.col("score").alias("old")).join(new.select(*value, F.col("score").alias("now")), value, "full").join(again, keys, "left")
+    gone = F.coalesce("again", F.lit(False)) & F.col("old").isNotNull() & ~F.col("old").eqNullSafe(F.col("now")) if replace else F.lit(False)
+    force = F.when(gone, F.col("now")).otherwise(F.coalesce("old", "now"))
+    rows = F.array_compact(F.array(
+        F.when(force.isNotNull(), F.struct(force.alias("score"), F.lit("ACTIVE").alias("status"))), F.when(gone, F.struct(F.col("old").alias("score"), F.lit("SUPERSEDED").alias("status")))))
+    return both.select(*value, F.explode(rows).alias("r")).select(*value, "r.score", "r.status")

@@ -3,7 +3,9 @@
 from scholargraph.plans import (  # noqa: F401
     citation_queries,
     corpus_queries,
+    decision_queries,
     evidence_queries,
+    layout_queries,
     library_queries,
     link_queries,
     provenance_queries,
