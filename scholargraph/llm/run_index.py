@@ -97,11 +97,16 @@ class Texts:
         new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)))
         return h[at[new]], s[new], np.diff(np.append(new, len(s)))
 
-    def hashes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits that tell the matches at `starts`."""
-        if not hasattr(self, "second"):
-            self.second = self._cumulated(_OTHER_POWERS)
-        return tuple(_mix((t[starts + MATCH] - t[starts]) * d[starts]) for t, d in ((self.total, self.down), self.second))
+    def hashes(self, starts: np.ndarray) -> np.ndarray:
+        """The first half of the 128 bits that tell the matches at `starts`."""
+        return _mix((self.total[starts + MATCH] - self.total[starts]) * self.down[starts])
+
+    def second(self, starts: np.ndarray) -> np.ndarray:
+        """Their other half."""
+        if not hasattr(self, "other"):
+            self.other = self._cumulated(_OTHER_POWERS)
+        total, down = self.other
+        return _mix((total[starts + MATCH] - total[starts]) * down[starts])
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -117,9 +122,12 @@ class RunIndex:
     back in the text, and, sampled at both run ends, the lengths that the rows there have in common with the row
     beyond. Inside a run a step back lengthens a match with either neighbour by one, so the matching statistics of all
     texts follow from the samples alone; the suffix array itself is let go.
+
+    A text may be in the index twice (`copies`). The suffixes of its two copies are neighbours with the same symbol
+    before them, so they only make runs longer: the array of single texts is sorted, and its rows are counted so often.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], copies: list[int] | None = None):
         raw = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)
         n = len(raw)
         padded = np.concatenate([raw, np.zeros(8, np.uint8)])
@@ -127,18 +135,23 @@ class RunIndex:
         for j in range(8):
             words = (words << np.uint64(8)) | padded[j : j + n]
         order, rank = self._sorted(padded, n)
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        times = np.ones(n, np.int64) if copies is None else np.repeat(np.array(copies, np.int64), self.sizes + 1)[order]
+        rows = np.concatenate([[0], np.cumsum(times)])  # of the single rows, where their copies begin
         before = raw[order - 1]
-        self.start = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-        size = np.diff(np.append(self.start, n))
-        self.end = self.start + size - 1
-        by = np.argsort(before[self.start], kind="stable")
-        back = np.empty(len(by), np.int64)
-        back[by] = np.cumsum(size[by]) - size[by]
+        single = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        ends = np.append(single[1:], n)
+        self.start, self.end = rows[single], rows[ends] - 1
+        by = np.argsort(before[single], kind="stable")
+        back, once = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+        size = ends - single
+        once[by] = np.cumsum(size[by]) - size[by]
+        size_of = rows[ends] - rows[single]
+        back[by] = np.cumsum(size_of[by]) - size_of[by]
         self.back = back
-        self.above = self._common(words, order, back, n)
-        self.below = self._common(words, order, back + size, n)
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.last = rank[np.cumsum(self.sizes + 1) - 1].astype(np.int64)
+        self.above = self._common(words, order, once, n)
+        self.below = self._common(words, order, once + size, n)
+        self.last = rows[rank[np.cumsum(self.sizes + 1) - 1]]
 
     @staticmethod
     def _sorted(padded: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -343,9 +356,8 @@ def _stretches(docs: pa.Table, side: pa.Table, shards: int) -> pa.Table:
                 c.append(v)
         starts = spread(s[is_hot], n[is_hot])
         if len(starts):
-            a, b = texts.hashes(starts)
-            w1.append(a)
-            w2.append(b)
+            w1.append(texts.hashes(starts))
+            w2.append(texts.second(starts))
             wk.append(x + texts.doc[starts])
             wn.append(bucket.copies[wk[-1]])
     if w1:
@@ -387,10 +399,9 @@ def _match_bytes(docs: pa.Table, side: pa.Table, shards: int) -> pa.Table:
         left = set(_key(asked, "w1", "w2"))
         for _, texts in _shards([bucket.texts[k] for k in np.unique(_long(asked, "k")).tolist()]):
             starts = _all_starts(texts)
-            a, b = texts.hashes(starts)
-            take = []
-            for i in _among(a, _long(asked, "w1").view(np.uint64)).tolist():
-                key = (int(a[i].view(np.int64)), int(b[i].view(np.int64)))
+            a, take = texts.hashes(starts), []
+            near = _among(a, _long(asked, "w1").view(np.uint64))
+            for i, key in zip(near.tolist(), zip(a[near].view(np.int64).tolist(), texts.second(starts[near]).view(np.int64).tolist())):
                 if key in left:
                     left.discard(key)
                     take.append(i)
@@ -438,16 +449,13 @@ def _matches(table: pa.Table, hot: pa.Table) -> pa.Table:
     spans: dict[tuple, list[int]] = {}
     confirmed: list[tuple] = []
     for block in _blocks(alone + [[t] for t in once]):
-        texts, own = [], []
-        for t in block:
-            own.append(len(texts))
-            texts += [t] * (1 if t in places and weight[t] < 2 else 2)
-        for t, starts in zip(block, RunIndex(texts).matched(np.array(own, np.int64))):
+        copies = [1 if t in places and weight[t] < 2 else 2 for t in block]
+        for t, starts in zip(block, RunIndex(block, copies).matched(np.arange(len(block)))):
             if not len(starts):
                 continue
             if t in once:
-                a, b = Texts([t]).hashes(starts)
-                confirmed += zip(a.view(np.int64).tolist(), b.view(np.int64).tolist())
+                one = Texts([t])
+                confirmed += zip(one.hashes(starts).view(np.int64).tolist(), one.second(starts).view(np.int64).tolist())
             cut = np.flatnonzero(np.diff(starts) != 1)
             begin, end = starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist()
             for k1, k2, at in places.get(t, ()):
@@ -473,9 +481,10 @@ def _kept(docs: pa.Table, side: pa.Table) -> pa.Table:
         ones, order = np.unique(_long(found, "w1")).view(np.uint64), list(at)
         for x, shard in _shards(texts):
             starts = _all_starts(shard)
-            a, b = shard.hashes(starts)
+            a = shard.hashes(starts)
             near = _among(a, ones)
-            near = near[[key in confirmed for key in zip(a[near].view(np.int64).tolist(), b[near].view(np.int64).tolist())]] if len(near) else near
+            if len(near):
+                near = near[[key in confirmed for key in zip(a[near].view(np.int64).tolist(), shard.second(starts[near]).view(np.int64).tolist())]]
             doc = shard.doc[starts[near]]
             for s, d in zip((starts[near] - shard.first[doc]).tolist(), doc.tolist()):
                 spans.setdefault(order[x + d], []).extend((s, s + MATCH))

@@ -44,8 +44,10 @@ def test_index_against_counting():
         texts = [(t or "").encode() for t in drawn(rng, 8)]
         seen = Counter(t[i : i + run_index.MATCH] for t in texts for i in range(len(t) - run_index.MATCH + 1))
         got = run_index.RunIndex(texts).matched(np.arange(len(texts)))
+        distinct = list(dict.fromkeys(texts))
+        twice = dict(zip(distinct, run_index.RunIndex(distinct, [min(2, texts.count(t)) for t in distinct]).matched(np.arange(len(distinct)))))
         for t, starts in zip(texts, got):
-            assert starts.tolist() == [i for i in range(len(t) - run_index.MATCH + 1) if seen[t[i : i + run_index.MATCH]] > 1]
+            assert starts.tolist() == twice[t].tolist() == [i for i in range(len(t) - run_index.MATCH + 1) if seen[t[i : i + run_index.MATCH]] > 1]
 
 
 @pytest.mark.parametrize("hot", [2000, 1])
