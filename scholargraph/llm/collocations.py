@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholargraph.llm.bitmaps import bitmap, has
 from scholargraph.llm.substring import SHARD_BYTES, Powers, _mix
 from scholargraph.operators.lineage import staged
 
@@ -185,22 +186,6 @@ def _frequent(table: pa.Table, least: int) -> pa.Table:
     return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(out.items(), (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()))})
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each hash (column h) modulo `bits`: of fixed size, whatever the number of hashes. A bit that is set for
-    another hash makes a task count a phrase in vain; it never hides one."""
-    place = hashes.select(F.pmod("h", F.lit(bits)).alias("place"))
-    found = place.groupBy(F.expr("place div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place % 64 AS INT))")).alias("set")).toArrow()
-    out = np.zeros(bits >> 6, np.uint64)
-    out[found.column("at").to_numpy()] = found.column("set").to_numpy().view(np.uint64)
-    return out
-
-
-def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bits = np.uint64(len(bitmap) << 6)
-    place = h % bits if len(bitmap) & (len(bitmap) - 1) else h & (bits - np.uint64(1))
-    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
-
-
 _PHRASE = ["w1", "w2", "w3", "w4"]
 
 
@@ -233,7 +218,7 @@ def _phrases(bitmaps: dict[str, np.ndarray]) -> Callable:
                 pair_at, pair_h = chains[0]
                 if "p2" in bitmaps:
                     frequent = np.zeros(len(shard.value) + LONGEST, bool)
-                    frequent[pair_at[_has(bitmaps["p2"], pair_h)]] = True
+                    frequent[pair_at[has(bitmaps["p2"], pair_h)]] = True
                 for m, (at, h) in enumerate(chains, 2):
                     if m == 2:
                         wanted = at[frequent[at]] if "c2" in bitmaps else at[:0]
@@ -244,9 +229,9 @@ def _phrases(bitmaps: dict[str, np.ndarray]) -> Callable:
                         at = at[ok]
                         asked = np.zeros(len(at), bool)
                         if f"g{m - 1}" in bitmaps:
-                            asked |= _has(bitmaps[f"g{m - 1}"], short[at])
+                            asked |= has(bitmaps[f"g{m - 1}"], short[at])
                         if f"l{m - 1}" in bitmaps:
-                            asked |= _has(bitmaps[f"l{m - 1}"], short[at + 1])
+                            asked |= has(bitmaps[f"l{m - 1}"], short[at + 1])
                         wanted = at[asked]
                     if len(wanted):
                         held[m]["rows"].append((np.stack([shard.value[wanted + j] for j in range(m)], axis=1), np.ones(len(wanted), np.int64)))
@@ -280,7 +265,7 @@ class Growth:
         counted = staged(tallied.groupBy("r").applyInArrow(lambda t: _frequent(t, least), "kind int, h long, lang string, word string, n long"), "phrases-counted")
         self.words = counted.filter("kind = 1").select(F.col("h").alias("w"), "lang", "word", F.col("n").alias("f"))
         self.total = counted.filter("kind = 0").groupBy("lang").agg(F.sum("n").alias("n"))
-        self.frequent = _bitmap(counted.filter("kind = 2").select("h"), PAIR_BITS)
+        self.frequent = bitmap(counted.filter("kind = 2").select("h"), PAIR_BITS)
         self.pairs = self.counted({"c2": None}, "pairs")
 
     def counted(self, bitmaps: dict[str, np.ndarray | None], label: str) -> DataFrame:
@@ -378,7 +363,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFra
     while True:
         floors = staged(_floors(pairs, top * factor), "phrases-floors")
         at_floor = lambda df, c: df.join(floors, "lang").filter(F.col(c) >= F.col("floor"))
-        bits = lambda df, names: _bitmap(_hash_of(df, names), ROUND_BITS)
+        bits = lambda df, names: bitmap(_hash_of(df, names), ROUND_BITS)
         first = search.counted({"g2": bits(at_floor(pairs, "bound"), _PHRASE[:2]), "l2": bits(at_floor(pairs, "score"), _PHRASE[:2])}, "triples")
         triples = staged(search.scored(first, known), "phrases-triples-scored")
         grown = at_floor(triples, "bound")

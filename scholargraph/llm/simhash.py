@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholargraph.llm.bitmaps import TEXT_BITS, may_be_in
 from scholargraph.operators.components import connected_components
 from scholargraph.operators.lineage import checkpointed, fresh
 
@@ -225,6 +226,10 @@ def keep_one(docs: DataFrame, limit: int = PAIR_LIMIT, clusters: Callable[[DataF
     own = fresh(docs, "keep_id", "keep_t1", "keep_t2")
     chosen = best.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "t1", "t2"), own)))
     t1, t2 = text_hashes(docs)
-    out = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col(own[0])) & (t1 == F.col(own[1])) & (t2 == F.col(own[2])), "left_semi")
+    same = docs["doc_id"].eqNullSafe(F.col(own[0])) & (t1 == F.col(own[1])) & (t2 == F.col(own[2]))
+    # Rows whose text no dropped row has stay without a join, so that their texts are not shuffled.
+    dropped = found.join(best, found["doc_id"].eqNullSafe(best["doc_id"]) & (found["t1"] == best["t1"]) & (found["t2"] == best["t2"]), "left_anti")
+    doubtful = may_be_in(dropped.select(F.xxhash64("t1", "t2").alias("h")), F.xxhash64(t1, t2), TEXT_BITS)
+    out = docs.filter(~doubtful).unionByName(docs.filter(doubtful).join(chosen, same, "left_semi"))
     repeated = found.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])

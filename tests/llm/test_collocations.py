@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from scholargraph.llm import collocations
+from scholargraph.llm import bitmaps, collocations
 
 
 def plain(rows, top, least):
@@ -57,12 +57,13 @@ def test_empty(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
 
 
-def test_small_bitmaps(monkeypatch):
-    """A bitmap that is full asks for everything; the hashes of words are those of other places."""
-    bitmap = np.zeros(4, np.uint64)
-    h = np.array([3, 64, 255, 256 + 7], np.uint64)
-    for x in h[:3]:
-        bitmap[int(x) % 256 >> 6] |= np.uint64(1) << np.uint64(int(x) % 64)
-    assert collocations._has(bitmap, h).tolist() == [True, True, True, False]
+def test_bitmaps_and_words(spark):
+    """A bit is found again for every hash, negative ones too; equal words of a language are equal, pieces divide them."""
+    rng = np.random.default_rng(0)
+    some = rng.integers(-(2**63), 2**63 - 1, 500)
+    found = bitmaps.bitmap(spark.createDataFrame([(int(x),) for x in some], "h long"), 1 << 12)
+    assert bitmaps.has(found, some.view(np.uint64)).all() and bitmaps.has(found, rng.integers(0, 2**63, 4000).astype(np.uint64)).mean() < 0.2
+    rows = spark.createDataFrame([(int(x),) for x in some[:50]], "x long")
+    assert rows.filter(bitmaps.may_be_in(spark.createDataFrame([(int(x),) for x in some[:10]], "h long"), rows["x"], 1 << 20)).count() >= 10
     a = collocations.Words([b"One two, three", b"x ONE two"], np.array([1, 1], np.uint64))
     assert a.value[0] == a.value[4] and a.value[1] == a.value[5] and a.joined.tolist() == [True, False, False, True, True]
