@@ -82,17 +82,3 @@ def reference_quality(sections: DataFrame) -> DataFrame:
     return sections.select(
         "section", F.when(F.coalesce("heading", F.lit("")) != "", "HIGH").otherwise(F.col("confidence")).alias("section_confidence"),
         F.when(F.col("entries") > 0, F.col("confidence")).alias("segmentation_confidence"), F.lit("UNREVIEWED").alias("entry_text_quality"))
-
-
-def role_transitions(log: DataFrame) -> DataFrame:
-    """document, seq of the moments of log(seq, document, role) at which a document becomes SUPPLEMENTARY: those at
-    which what it gave is retracted (see quality.retraction)."""
-    w = Window.partitionBy("document").orderBy("seq")
-    return log.withColumn("was", F.lag("role").over(w)).filter((F.col("role") == "SUPPLEMENTARY") & ~F.col("was").eqNullSafe(F.lit("SUPPLEMENTARY"))).select("document", "seq")
-
-
-def dismissed_reviews(reviews: DataFrame, retracted: DataFrame) -> DataFrame:
-    """subject, status of reviews(subject_type, subject, status): open ones of retracted spans (span) are DISMISSED."""
-    gone = retracted.select(F.col("span").cast("string").alias("subject"), F.lit(True).alias("gone")).distinct()
-    return reviews.join(gone, "subject", "left").select(
-        "subject_type", "subject", F.when(F.col("gone") & (F.col("subject_type") == "SPAN") & (F.col("status") == "OPEN"), "DISMISSED").otherwise(F.col("status")).alias("status"))

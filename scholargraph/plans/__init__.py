@@ -1,6 +1,7 @@
 """Registered queries: operators bound to tables, each beside its SQL."""
 
 from scholargraph.plans import (  # noqa: F401
+    audit_queries,
     citation_queries,
     corpus_queries,
     decision_queries,

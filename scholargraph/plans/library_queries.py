@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholargraph.operators import library
+from scholargraph.operators import library, listing
 from scholargraph.plans.registry import query
 from scholargraph.sources import tables as T
 
@@ -56,10 +56,11 @@ def list_authors(spark, d) -> DataFrame:
     ).orderBy(F.lower("name"), "author").limit(500)
 
 
-@query("SELECT c_custkey AS paper_id, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS paper_id, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def unfiled(spark, d) -> DataFrame:
-    return T.table(spark, d, "customer").join(T.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select(
-        F.col("c_custkey").alias("paper_id"), F.col("c_name").alias("name"))
+    """Customers without a pending order."""
+    filed = T.table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("paper_id"))
+    return listing.without(T.table(spark, d, "customer").select(F.col("c_custkey").alias("paper_id"), F.col("c_name").alias("name")), filed, "paper_id")
 
 
 TREE_SQL = """nodes AS (SELECT 'r' || r_regionkey AS node, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation

@@ -31,11 +31,12 @@ def listed_with_files(spark, d) -> DataFrame:
     return listing.list_papers(papers, files, q=" Widget ", pdf_available=True, limit=50, offset=3)
 
 
-@query(f"""WITH {PAPERS_SQL} SELECT *, CAST(count(*) OVER () AS BIGINT) AS total FROM p WHERE (contains(lower(title), '1') OR contains(lower(doi), '1') OR contains(lower(venue), '1')) AND lower(venue) = 'brand#13' AND year = 1994
-AND ut NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY year DESC NULLS LAST, ut DESC LIMIT 200""")
+@query(f"""WITH {PAPERS_SQL} SELECT *, CAST(count(*) OVER () AS BIGINT) AS total FROM p WHERE (contains(lower(title), '1') OR contains(lower(doi), '1') OR contains(lower(venue), '1')) AND lower(venue) = 'brand#13' AND year >= 1970
+AND ut NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48) ORDER BY year DESC NULLS LAST, ut DESC LIMIT 200""")
 def listed_without_files(spark, d) -> DataFrame:
-    papers, files = _listed(spark, d)
-    return listing.list_papers(papers, files, q="1", year=1994, venue="BRAND#13", pdf_available=False, limit=10_000)
+    papers, _ = _listed(spark, d)
+    files = T.table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 48").select(F.col("l_partkey").alias("ut"))
+    return listing.list_papers(papers, files, q="1", venue="BRAND#13", pdf_available=False, limit=10_000)
 
 
 @query("""WITH r AS (SELECT l_suppkey AS author, count(DISTINCT l_orderkey) AS papers, count(DISTINCT l_orderkey) FILTER (WHERE l_linenumber = 1) AS first_papers FROM lineitem GROUP BY 1),
