@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholargraph.operators import listing
+
 
 def link_by_name(children: DataFrame, authors: DataFrame) -> DataFrame:
     """ut, child, order_index: M:N links of children(ut, child, name) (addresses, correspondence groups) to
@@ -113,3 +115,20 @@ def cited_papers(references: DataFrame, links: DataFrame, papers: DataFrame) ->
     by_doi = references.filter("doi IS NOT NULL").join(papers.filter("doi IS NOT NULL").select("doi", "paper_id").distinct(), "doi").select("reference_id", "citing_paper_id", "paper_id", F.lit("DOI").alias("by"))
     found = by_link.unionByName(by_doi).filter(~F.col("paper_id").eqNullSafe(F.col("citing_paper_id")))
     return found.groupBy("reference_id", "paper_id").agg(F.max("by").alias("by"))
+
+
+def paper_details(states: DataFrame, links: DataFrame, records: DataFrame, corresponding: DataFrame, children: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """One nested row a paper: its state in the corpus, the record of its link if that is there, the record's corresponding
+    authors and its children.
+
+    states(paper, state), links(paper, ut) are those in force, records(ut, ...); corresponding(ut, group, position, name)
+    holds one author in several groups, of which the first by group and position counts; children as in listing.detail.
+    Names are told apart without case. Papers without a record have empty arrays.
+    """
+    first = corresponding.filter("trim(name) <> ''").groupBy("ut", F.lower(F.trim("name")).alias("folded")).agg(F.min(F.struct("group", "position", "name")).alias("f"))
+    authors = first.select("ut", "f.group", "f.position", "f.name")
+    full = listing.detail(records, {"corresponding": (authors, ["group", "position", "name"])} | children)
+    shown = links.join(full, "ut")
+    out = states.join(shown, "paper", "left")
+    arrays = {name: F.coalesce(name, F.array().cast(full.schema[name].dataType)) for name in ("corresponding", *children)}
+    return out.withColumns(arrays)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholargraph.functions import text as X
@@ -79,23 +79,20 @@ def identity_plan(scored: DataFrame) -> DataFrame:
         F.when(ready & (F.col("crowd") == 1), "ACCEPT").when(ready, "REVIEW_COLLISION").otherwise("REVIEW").alias("decision"))
 
 
-def similar_pairs(variants: DataFrame, papers: DataFrame, excluded: DataFrame, minimum: float = 0.5, limit: int = 500) -> DataFrame:
-    """left_id, right_id, score: authors whose spellings are alike, for review.
-
-    variants(author_id, family, given, initials, normalized) meet if they have one family name and one first letter of
-    the given name (or initial), or if one's given and family names are the other's family and given names. Pairs that
-    share a paper (papers(author_id, paper_id)) or are excluded(left_id, right_id) are left out. The score of a pair
-    is its best over its spellings.
-    """
+def _spellings(variants: DataFrame) -> DataFrame:
+    """author_id, f, g, i, n, first: the spellings of variants(author_id, family, given, initials, normalized) that have a
+    family name, in letters and digits only, each once."""
     squeeze = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\p{L}\p{N}]+", "")
     v = variants.select("author_id", squeeze("family").alias("f"), squeeze("given").alias("g"), F.coalesce("initials", F.lit("")).alias("i"), F.coalesce("normalized", F.lit("")).alias("n")).distinct()
-    v = checkpointed(v.filter("f <> ''").withColumn("first", F.when(F.col("g") != "", F.substring("g", 1, 1)).otherwise(F.substring("i", 1, 1))))
-    a = v.select(*[F.col(c).alias(f"a_{c}") for c in v.columns])
-    b = v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns])
-    ordered = F.col("a_author_id") < F.col("b_author_id")
-    alike = a.filter("a_first <> ''").join(b, (F.col("a_f") == F.col("b_f")) & (F.col("a_first") == F.col("b_first")) & ordered)
-    crossed = a.filter("a_g <> '' and a_f <> a_g").join(b, (F.col("a_f") == F.col("b_g")) & (F.col("a_g") == F.col("b_f")) & ordered)
-    both = alike.unionByName(crossed)
+    return checkpointed(v.filter("f <> ''").withColumn("first", F.when(F.col("g") != "", F.substring("g", 1, 1)).otherwise(F.substring("i", 1, 1))))
+
+
+def _met(a: DataFrame, b: DataFrame, which: Column) -> DataFrame:
+    """a_author_id, b_author_id, score of spellings that share family name and first letter, or have them crossed; the score
+    of two authors is the best over their spellings."""
+    a, b = (x.select(*[F.col(c).alias(f"{side}_{c}") for c in x.columns]) for side, x in (("a", a), ("b", b)))
+    alike = a.filter("a_first <> ''").join(b, (F.col("a_f") == F.col("b_f")) & (F.col("a_first") == F.col("b_first")) & which)
+    crossed = a.filter("a_g <> '' and a_f <> a_g").join(b, (F.col("a_f") == F.col("b_g")) & (F.col("a_g") == F.col("b_f")) & which)
     col = F.col
     prefix = (F.least(F.length("a_g"), F.length("b_g")) >= 2) & (col("a_g").startswith(col("b_g")) | col("b_g").startswith(col("a_g")))
     named = (
@@ -104,13 +101,56 @@ def similar_pairs(variants: DataFrame, papers: DataFrame, excluded: DataFrame, m
     same_family = (col("a_f") != "") & (col("a_f") == col("b_f"))
     swapped = (col("a_f") != "") & (col("a_g") != "") & (col("a_f") == col("b_g")) & (col("a_g") == col("b_f"))
     score = F.greatest(F.when(same_family, F.least(F.lit(1.0), 0.25 + named)).otherwise(0.0), F.when(swapped, 0.95).otherwise(0.0))
-    scored = both.withColumn("score", F.round(score, 6)).filter(F.col("score") >= minimum).groupBy(F.col("a_author_id").alias("left_id"), F.col("b_author_id").alias("right_id")).agg(F.max("score").alias("score"))
-    scored = checkpointed(scored)
+    return alike.unionByName(crossed).withColumn("score", F.round(score, 6)).groupBy("a_author_id", "b_author_id").agg(F.max("score").alias("score"))
+
+
+def similar_pairs(variants: DataFrame, papers: DataFrame, excluded: DataFrame, minimum: float = 0.5, limit: int = 500) -> DataFrame:
+    """left_id, right_id, score: authors whose spellings are alike, for review.
+
+    variants(author_id, family, given, initials, normalized) meet if they have one family name and one first letter of
+    the given name (or initial), or if one's given and family names are the other's family and given names. Pairs that
+    share a paper (papers(author_id, paper_id)) or are excluded(left_id, right_id) are left out. The score of a pair
+    is its best over its spellings.
+    """
+    v = _spellings(variants)
+    scored = _met(v, v, F.col("a_author_id") < F.col("b_author_id")).filter(F.col("score") >= minimum)
+    scored = checkpointed(scored.select(F.col("a_author_id").alias("left_id"), F.col("b_author_id").alias("right_id"), "score"))
     left, right = papers.select(F.col("author_id").alias("left_id"), "paper_id"), papers.select(F.col("author_id").alias("right_id"), "paper_id")
     together = scored.join(left, "left_id").join(right, ["right_id", "paper_id"], "left_semi").select("left_id", "right_id").distinct()
     return scored.join(together, ["left_id", "right_id"], "left_anti").join(excluded, ["left_id", "right_id"], "left_anti").orderBy(F.desc("score"), "left_id", "right_id").limit(limit)
 
 
+def similar_candidates(author, variants: DataFrame, papers: DataFrame, excluded: DataFrame, minimum: float = 0.5, limit: int = 50) -> DataFrame:
+    """author_id, score, same_paper: who may be the same person as one author. Those who share a paper with them are kept,
+    flagged, and come last; then by score and id. Only that author's spellings are compared with the others'."""
+    v = _spellings(variants)
+    own = F.lit(author)
+    found = _met(v.filter(F.col("author_id") == own), v, F.col("a_author_id") != F.col("b_author_id")).filter(F.col("score") >= minimum)
+    found = found.select(F.col("b_author_id").alias("author_id"), "score")
+    barred = excluded.filter((F.col("left_id") == own) | (F.col("right_id") == own)).select(F.when(F.col("left_id") == own, F.col("right_id")).otherwise(F.col("left_id")).alias("author_id"))
+    mine = papers.filter(F.col("author_id") == own).select("paper_id")
+    together = papers.join(mine, "paper_id", "left_semi").select("author_id").distinct().withColumn("same_paper", F.lit(True))
+    flagged = found.join(barred, "author_id", "left_anti").join(together, "author_id", "left").withColumn("same_paper", F.coalesce("same_paper", F.lit(False)))
+    return flagged.orderBy("same_paper", F.desc("score"), "author_id").limit(limit)
+
+
+def reviewed_references(decided: DataFrame, log: DataFrame) -> DataFrame:
+    """reference_id, status, match_type, cited of decided(reference_id, status, match_type, cited) after the reviews of
+    log(seq, reference_id, paper_id, op).
+
+    The last word on a reference and paper counts. An ACCEPT makes that paper the cited one (the latest of several) and is
+    MANUAL; a REJECT of the paper cited so far leaves the reference REJECTED; anything else stays as it was.
+    """
+    last = log.groupBy("reference_id", "paper_id").agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq"))
+    taken = last.filter("op = 'ACCEPT'").groupBy("reference_id").agg(F.max_by("paper_id", "seq").alias("chosen"))
+    refused = last.filter("op = 'REJECT'").select("reference_id", F.col("paper_id").alias("cited"), F.lit(True).alias("refused"))
+    full = decided.join(taken, "reference_id", "left").join(refused, ["reference_id", "cited"], "left")
+    status = F.when(F.col("chosen").isNotNull(), "ACCEPTED").when(F.col("refused"), "REJECTED").otherwise(F.col("status"))
+    kind = F.when(F.col("chosen").isNotNull(), "MANUAL").otherwise(F.col("match_type"))
+    cited = F.when(F.col("chosen").isNotNull(), F.col("chosen")).when(F.col("refused"), F.lit(None)).otherwise(F.col("cited"))
+    return full.select("reference_id", status.alias("status"), kind.alias("match_type"), cited.alias("cited"))
+
+
 def merged_into(merges: DataFrame) -> DataFrame:
     """author_id, into: where every merged author has ended, over chains of merges(author_id, into); the last merge of
     an author (seq) counts. Each round doubles the steps taken, so a chain of n merges takes log n rounds; a circle of

@@ -130,3 +130,20 @@ def tagged_records(spark, d) -> DataFrame:
     out = tagged.interpret(tagged.parse_records(full.select(F.lit("orders").alias("file"), record.alias("lines"))))
     return out.select("ut", "title", "year", F.size("authors").cast("long").alias("authors"), F.col("authors")[0]["au_name"].alias("first_author"), F.size("references").cast("long").alias("cited"), "cr_status",
                       F.col("keywords")[0].alias("keyword"), "times_cited", "volume")
+
+
+@query(f"""WITH {LINKS_SQL}, x AS (SELECT paper, arg_max(ut, link) AS ut FROM l WHERE status = 'ACCEPTED' GROUP BY 1), st AS (SELECT c_custkey AS paper, ut, CASE WHEN x.ut IN (SELECT ut FROM r) THEN 'IN_CORPUS' WHEN x.ut IS NOT NULL THEN 'STALE_LINK' ELSE 'NOT_CHECKED' END AS state FROM customer LEFT JOIN x ON x.paper = c_custkey),
+co AS (SELECT l_suppkey AS ut, l_linenumber AS g, min(l_orderkey) AS pos, CASE WHEN l_linenumber % 2 = 0 THEN 'NAME' ELSE 'name' END || l_linenumber // 2 AS name FROM lineitem GROUP BY 1, 2), f AS (SELECT ut, lower(name) AS low, min((g, pos, name)) AS f FROM co GROUP BY 1, 2),
+a AS (SELECT ut, string_agg(f[3], '|' ORDER BY f) AS names FROM f GROUP BY 1), kd AS (SELECT l_suppkey AS ut, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1)
+SELECT paper, state, r.ut, coalesce(names, '') AS corresponding, coalesce(flags, '') AS flags FROM st LEFT JOIN r ON r.ut = st.ut LEFT JOIN a ON a.ut = r.ut LEFT JOIN kd ON kd.ut = r.ut""")
+def paper_details(spark, d) -> DataFrame:
+    """Customers as papers: their state, record, corresponding authors at their first place, and another child."""
+    links, records = _links(spark, d)
+    papers = T.table(spark, d, "customer").select(F.col("c_custkey").alias("paper"))
+    states = linking.corpus_states(papers, links, papers.limit(0).withColumn("state", F.lit("")), records)
+    lines, i = T.table(spark, d, "lineitem"), F.col("l_linenumber")
+    name = F.concat(F.when(i % 2 == 0, "NAME").otherwise("name"), F.expr("l_linenumber div 2").cast("string"))
+    corresponding = lines.groupBy(F.col("l_suppkey").alias("ut"), "l_linenumber").agg(F.min("l_orderkey").alias("position")).select("ut", F.col("l_linenumber").alias("group"), "position", name.alias("name"))
+    flags = lines.select(F.col("l_suppkey").alias("ut"), F.col("l_returnflag").alias("flag")).distinct()
+    out = linking.paper_details(states, linking.paper_records(links), records, corresponding, {"flags": (flags, ["flag"])})
+    return out.select("paper", "state", "ut", F.array_join(F.transform("corresponding", lambda c: c["name"]), "|").alias("corresponding"), F.array_join(F.transform("flags", lambda c: c["flag"]), "|").alias("flags"))

@@ -51,24 +51,39 @@ pairs AS (SELECT a.author_id AS left_id, b.author_id AS right_id, 0.25 + CASE WH
  WHEN starts_with(a.i, b.i) OR starts_with(b.i, a.i) THEN 0.25 ELSE 0 END AS score FROM k a JOIN k b ON a.f = b.f AND left(a.g, 1) = left(b.g, 1) AND a.author_id < b.author_id)"""
 
 
-@query(f"""WITH {SIMILAR_SQL} SELECT left_id, right_id, CAST(score AS DOUBLE) AS score FROM pairs WHERE score >= 0.5 AND NOT EXISTS (SELECT 1 FROM papers x JOIN papers y ON x.paper_id = y.paper_id WHERE x.author_id = left_id AND y.author_id = right_id)
-AND (left_id + right_id) % 10 <> 0 ORDER BY score DESC, left_id, right_id LIMIT 500""")
-def similar_author_pairs(spark, d) -> DataFrame:
+def _variants(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     k = F.col("c_custkey")
     given = F.when(k % 4 == 0, "ann").when(k % 4 == 1, "anna").when(k % 4 == 2, "a").otherwise("bo")
     family = F.concat(F.lit("family"), F.expr("c_custkey div 12").cast("string"))
     v = T.table(spark, d, "customer").select(k.alias("author_id"), family.alias("family"), given.alias("given"), F.substring(given, 1, 1).alias("initials"), F.concat_ws(" ", given, family).alias("normalized"))
     papers = T.table(spark, d, "orders").select(F.col("o_custkey").alias("author_id"), (F.col("o_orderkey") % 97).alias("paper_id")).distinct()
     near = v.select(F.col("author_id").alias("left_id"), "family").join(v.select(F.col("author_id").alias("right_id"), "family"), "family")
-    excluded = near.filter((F.col("left_id") + F.col("right_id")) % 10 == 0).select("left_id", "right_id")  # judged not the same before
-    return resolve.similar_pairs(v, papers, excluded, 0.5, 500)
+    return v, papers, near.filter((F.col("left_id") + F.col("right_id")) % 10 == 0).select("left_id", "right_id")  # judged not the same before
+
+
+@query(f"""WITH {SIMILAR_SQL} SELECT left_id, right_id, CAST(score AS DOUBLE) AS score FROM pairs WHERE score >= 0.5 AND NOT EXISTS (SELECT 1 FROM papers x JOIN papers y ON x.paper_id = y.paper_id WHERE x.author_id = left_id AND y.author_id = right_id)
+AND (left_id + right_id) % 10 <> 0 ORDER BY score DESC, left_id, right_id LIMIT 500""")
+def similar_author_pairs(spark, d) -> DataFrame:
+    return resolve.similar_pairs(*_variants(spark, d), 0.5, 500)
+
+
+@query(f"""WITH {SIMILAR_SQL}, me AS (SELECT * FROM k WHERE author_id = 37), c AS (SELECT b.author_id, 0.25 + CASE WHEN a.n = b.n THEN 0.75 WHEN a.g = b.g THEN 0.60 WHEN least(length(a.g), length(b.g)) >= 2 AND (starts_with(a.g, b.g) OR starts_with(b.g, a.g)) THEN 0.40
+ WHEN starts_with(a.i, b.i) OR starts_with(b.i, a.i) THEN 0.25 ELSE 0 END AS score FROM me a JOIN k b ON a.f = b.f AND left(a.g, 1) = left(b.g, 1) AND b.author_id <> 37)
+SELECT author_id, CAST(score AS DOUBLE) AS score, EXISTS (SELECT 1 FROM papers x JOIN papers y ON x.paper_id = y.paper_id WHERE x.author_id = 37 AND y.author_id = c.author_id) AS same_paper FROM c WHERE score >= 0.3 AND (author_id + 37) % 10 <> 0
+UNION ALL SELECT 1000000 + 37, 0.95, FALSE ORDER BY same_paper, score DESC, author_id LIMIT 50""")
+def similar_candidates(spark, d) -> DataFrame:
+    """Candidates for one author; another author has their names crossed."""
+    v, papers, excluded = _variants(spark, d)
+    mine = v.filter("author_id = 37")
+    crossed = mine.select((F.col("author_id") + 1000000).alias("author_id"), F.col("given").alias("family"), F.col("family").alias("given"), F.lit("f").alias("initials"), F.lit("x").alias("normalized"))
+    return resolve.similar_candidates(37, v.unionByName(crossed), papers, excluded, 0.3, 50)
 
 
 REFS_R = """ref AS (SELECT l_orderkey * 10 + l_linenumber AS reference_id, min(l_partkey) AS part, min(l_suppkey) AS s FROM lineitem GROUP BY 1),
 pap AS (SELECT p_partkey AS paper_id, p_name, p_brand, p_type, p_size FROM part)"""
 
 
-@query(f"""WITH {REFS_R}, dh AS (SELECT reference_id, p.paper_id FROM ref JOIN pap o ON o.paper_id = part JOIN pap p ON p.p_brand = o.p_brand AND p.p_type = o.p_type AND p.p_size = o.p_size WHERE reference_id % 3 = 0),
+RESOLVE_SQL = f"""{REFS_R}, dh AS (SELECT reference_id, p.paper_id FROM ref JOIN pap o ON o.paper_id = part JOIN pap p ON p.p_brand = o.p_brand AND p.p_type = o.p_type AND p.p_size = o.p_size WHERE reference_id % 3 = 0),
 cand AS (SELECT reference_id, p.paper_id, p.p_name = o.p_name AND reference_id % 3 = 1 AS exact_title, CASE WHEN p.p_name = o.p_name THEN 0.5 ELSE 0.0 END AS tc, p.p_size = o.p_size AS year, p.p_brand = o.p_brand AS venue, p.p_type = o.p_type AS author,
  p.paper_id % 4 = s % 4 AS volume, p.paper_id % 3 = s % 3 AS page, p.p_size % 6 = 0 AS contradiction FROM ref JOIN pap o ON o.paper_id = part JOIN pap p ON p.p_size = o.p_size AND p.p_brand = o.p_brand),
 sc AS (SELECT *, CASE WHEN exact_title THEN 'TITLE_EXACT_NORMALIZED' WHEN year AND venue AND volume AND page THEN 'JOURNAL_VOLUME_PAGE_YEAR' WHEN author AND year AND venue THEN 'AUTHOR_YEAR_JOURNAL' END AS match_type,
@@ -78,8 +93,11 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER w AS k, lead(score, 1, 0.0)
 dn AS (SELECT reference_id, count(*) AS dn, min(paper_id) AS dp FROM dh GROUP BY 1),
 f AS (SELECT ref.reference_id, dn, dp, b.*, round(score - second, 6) AS margin FROM ref LEFT JOIN dn USING (reference_id) LEFT JOIN best b ON b.reference_id = ref.reference_id),
 st AS (SELECT *, CASE WHEN dn = 1 THEN 'ACCEPTED' WHEN dn > 1 THEN 'AMBIGUOUS' WHEN score IS NULL THEN 'UNRESOLVED' WHEN contradiction THEN 'CONTRADICTION'
- WHEN score >= 0.9 AND (match_type = 'TITLE_EXACT_NORMALIZED' AND margin >= 0.12 OR match_type = 'JOURNAL_VOLUME_PAGE_YEAR' AND margin >= 0.15) THEN 'ACCEPTED' ELSE 'AMBIGUOUS' END AS status FROM f)
-SELECT reference_id, status, CASE WHEN dn = 1 THEN 'DOI_EXACT' WHEN dn > 1 THEN NULL ELSE match_type END AS match_type, CASE WHEN dn = 1 THEN dp WHEN status = 'ACCEPTED' THEN paper_id END AS cited, CAST(coalesce(dn, n, 0) AS BIGINT) AS candidate_count FROM st""")
+ WHEN score >= 0.9 AND (match_type = 'TITLE_EXACT_NORMALIZED' AND margin >= 0.12 OR match_type = 'JOURNAL_VOLUME_PAGE_YEAR' AND margin >= 0.15) THEN 'ACCEPTED' ELSE 'AMBIGUOUS' END AS status FROM f),
+rs AS (SELECT reference_id, status, CASE WHEN dn = 1 THEN 'DOI_EXACT' WHEN dn > 1 THEN NULL ELSE match_type END AS match_type, CASE WHEN dn = 1 THEN dp WHEN status = 'ACCEPTED' THEN paper_id END AS cited, CAST(coalesce(dn, n, 0) AS BIGINT) AS candidate_count FROM st)"""
+
+
+@query(f"WITH {RESOLVE_SQL} SELECT * FROM rs")
 def reference_resolve(spark, d) -> DataFrame:
     ref = T.table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("reference_id")).agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("s"))
     pap = T.table(spark, d, "part").select(F.col("p_partkey").alias("paper_id"), "p_name", "p_brand", "p_type", "p_size")
@@ -93,6 +111,24 @@ def reference_resolve(spark, d) -> DataFrame:
     return resolve.decide_references(ref, hits, resolve.score_bibliographic(cand))
 
 
+@query(f"WITH {RESOLVE_SQL} SELECT 'status' AS counter, status AS value, count(*) AS n FROM rs GROUP BY 2 UNION ALL SELECT 'match_type', match_type, count(*) FROM rs GROUP BY 2")
+def reference_statuses(spark, d) -> DataFrame:
+    return quality.histograms(reference_resolve(spark, d), {"status": F.col("status"), "match_type": F.col("match_type")})
+
+
+@query(f"""WITH {RESOLVE_SQL}, lg AS (SELECT reference_id AS seq, reference_id, coalesce(cited, 3) AS paper_id, CASE WHEN reference_id % 5 = 0 THEN 'REJECT' ELSE 'ACCEPT' END AS op FROM rs WHERE reference_id % 5 < 2 UNION ALL SELECT reference_id + 1, reference_id, 9, 'ACCEPT' FROM rs WHERE reference_id % 7 = 0 UNION ALL SELECT reference_id + 2, reference_id, 9, 'REJECT' FROM rs WHERE reference_id % 14 = 0),
+ls AS (SELECT reference_id, paper_id, arg_max(op, seq) AS op, max(seq) AS seq FROM lg GROUP BY 1, 2), tk AS (SELECT reference_id, arg_max(paper_id, seq) AS chosen FROM ls WHERE op = 'ACCEPT' GROUP BY 1)
+SELECT rs.reference_id, CASE WHEN chosen IS NOT NULL THEN 'ACCEPTED' WHEN ls.op IS NOT NULL THEN 'REJECTED' ELSE status END AS status, CASE WHEN chosen IS NOT NULL THEN 'MANUAL' ELSE match_type END AS match_type, CASE WHEN chosen IS NOT NULL THEN chosen WHEN ls.op IS NULL THEN cited END AS cited
+FROM rs LEFT JOIN tk ON tk.reference_id = rs.reference_id LEFT JOIN ls ON ls.reference_id = rs.reference_id AND ls.paper_id = rs.cited AND ls.op = 'REJECT'""")
+def reviewed_references(spark, d) -> DataFrame:
+    decided = reference_resolve(spark, d).select("reference_id", "status", "match_type", "cited")
+    r = F.col("reference_id")
+    row = lambda df, later, paper, op: df.select((r + later).alias("seq"), "reference_id", paper.cast("long").alias("paper_id"), op.alias("op"))
+    log = row(decided.filter(r % 5 < 2), 0, F.coalesce("cited", F.lit(3)), F.when(r % 5 == 0, "REJECT").otherwise("ACCEPT"))
+    log = log.unionByName(row(decided.filter(r % 7 == 0), 1, F.lit(9), F.lit("ACCEPT"))).unionByName(row(decided.filter(r % 14 == 0), 2, F.lit(9), F.lit("REJECT")))
+    return resolve.reviewed_references(decided, log)
+
+
 @query(f"""WITH {SCORES_SQL} SELECT mention_id, author_id, CAST(50 + 40 * score + CASE WHEN same_creator THEN 10 ELSE 0 END AS DOUBLE) AS priority FROM eligible WHERE NOT eligible ORDER BY priority DESC, mention_id, author_id LIMIT 500""")
 def review_queue_ranked(spark, d) -> DataFrame:
     p = 50 + 40 * F.col("score") + F.when(F.col("same_creator"), 10).otherwise(0)
