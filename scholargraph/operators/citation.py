@@ -32,8 +32,15 @@ def _pairs_within(rows: DataFrame, key: str, value: str, extra: list[str]) -> Da
     return a.join(b, ["k", "slice"]).filter("src < dst").select("src", "dst", *extra)
 
 
-def bibliographic_coupling(references: DataFrame, papers: DataFrame, min_shared: int = 1) -> DataFrame:
-    """Pairs of papers that share at least `min_shared` references.
+def _pairs_of(seed, rows: DataFrame, key: str, value: str, extra: list[str]) -> DataFrame:
+    """(src, dst, *extra): the pairs of `_pairs_within` that hold one value. Only the keys of that value are looked at."""
+    own = rows.filter(F.col(value) == F.lit(seed)).select(key)
+    others = rows.filter(F.col(value) != F.lit(seed)).join(own, key, "left_semi")
+    return others.select(F.least(F.lit(seed), value).alias("src"), F.greatest(F.lit(seed), value).alias("dst"), *extra)
+
+
+def bibliographic_coupling(references: DataFrame, papers: DataFrame, min_shared: int = 1, seed=None) -> DataFrame:
+    """Pairs of papers that share at least `min_shared` references; of one paper only, if a `seed` is named.
 
     references(source_ut, ref_key), papers(ut, cr_status). A reference used by n papers adds 1 / max(1, n - 1) to a
     pair's fractional weight. Jaccard and cosine are null unless both lists are complete. The distinct references are
@@ -44,9 +51,10 @@ def bibliographic_coupling(references: DataFrame, papers: DataFrame, min_shared:
     sizes = refs.groupBy("source_ut").agg(F.count(F.lit(1)).alias("size"))
     known = papers.select("ut", is_complete().alias("complete")).join(sizes, F.col("ut") == F.col("source_ut"), "left").select(
         "ut", "complete", F.coalesce("size", F.lit(0)).alias("size"))
-    shared = checkpointed(refs.join(uses, "ref_key").withColumn("w", 1 / (F.col("n") - 1)))
+    shared = refs.join(uses, "ref_key").withColumn("w", 1 / (F.col("n") - 1))
+    met = _pairs_within(checkpointed(shared), "ref_key", "source_ut", ["w"]) if seed is None else _pairs_of(seed, shared, "ref_key", "source_ut", ["w"])
     pairs = (
-        _pairs_within(shared, "ref_key", "source_ut", ["w"]).groupBy("src", "dst")
+        met.groupBy("src", "dst")
         .agg(F.count(F.lit(1)).alias("shared"), F.sum("w").alias("fractional"))
         .filter(F.col("shared") >= min_shared)
     )
@@ -62,8 +70,8 @@ def bibliographic_coupling(references: DataFrame, papers: DataFrame, min_shared:
     )
 
 
-def co_citation(references: DataFrame, papers: DataFrame, min_count: int = 1) -> DataFrame:
-    """Pairs of local targets cited together by at least `min_count` papers.
+def co_citation(references: DataFrame, papers: DataFrame, min_count: int = 1, seed=None) -> DataFrame:
+    """Pairs of local targets cited together by at least `min_count` papers; of one target only, if a `seed` is named.
 
     references(source_ut, ref_key) hold resolved targets only. The normalised value is count / sqrt(in * in);
     support is counted apart for papers whose lists are complete.
@@ -72,8 +80,10 @@ def co_citation(references: DataFrame, papers: DataFrame, min_count: int = 1) ->
     cited = refs.groupBy("ref_key").agg(F.count(F.lit(1)).alias("n"))
     lists = refs.groupBy("source_ut").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(
         papers.select(F.col("ut").alias("source_ut"), is_complete().alias("complete")), "source_ut")
+    listed = refs.join(lists, "source_ut")
+    met = _pairs_within(listed, "source_ut", "ref_key", ["complete"]) if seed is None else _pairs_of(seed, listed, "source_ut", "ref_key", ["complete"])
     pairs = (
-        _pairs_within(refs.join(lists, "source_ut"), "source_ut", "ref_key", ["complete"]).groupBy("src", "dst")
+        met.groupBy("src", "dst")
         .agg(F.count(F.lit(1)).alias("together"), F.count_if("complete").alias("complete_support"))
         .filter(F.col("together") >= min_count)
     )

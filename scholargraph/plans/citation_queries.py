@@ -154,12 +154,15 @@ coupling AS (
   SELECT ut AS s FROM (SELECT src AS ut FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1 ORDER BY count(*) DESC, ut LIMIT 1)"""
 
 
-def _graph(spark, d):
+def _graph(spark, d, seeded: bool = False):
+    """Nodes, edges, coupling, co-citation and the seed; with `seeded` only the seed's pairs are computed."""
     nodes = T.graph_nodes(spark, d)
     edges = checkpointed(T.citation_edges(spark, d))
     status = T.table(spark, d, "part").select(F.col("p_partkey").alias("ut"), F.when(F.col("p_size") <= 25, "COMPLETE").otherwise("PARTIAL_OR_UNVERIFIED").alias("cr_status"))
     refs = edges.select(F.col("src").alias("source_ut"), F.col("dst").alias("ref_key"))
-    return nodes, edges, citation.bibliographic_coupling(refs, status, 1), citation.co_citation(refs, status, 1)
+    seed = _seed(edges) if seeded else None
+    pairs = citation.bibliographic_coupling(refs, status, 1, seed), citation.co_citation(refs, status, 1, seed)
+    return (nodes, edges, *pairs, seed) if seeded else (nodes, edges, *pairs)
 
 
 def _seed(edges):
@@ -187,16 +190,16 @@ FROM cand c LEFT JOIN direct USING (ut) LEFT JOIN cp USING (ut) LEFT JOIN cc USI
 LEFT JOIN na ON na.ut = c.ut LEFT JOIN nc ON nc.ut = c.ut
 ORDER BY score DESC, shared_reference_count DESC, co_citation_count DESC, c.ut LIMIT 30""")
 def related_papers(spark, d) -> DataFrame:
-    nodes, edges, coupling, cocit = _graph(spark, d)
+    nodes, edges, coupling, cocit, seed = _graph(spark, d, True)
     authors = T.table(spark, d, "lineitem").select(F.col("l_partkey").alias("ut"), F.col("l_suppkey").alias("value"))
     concepts = nodes.select("ut", F.explode(F.array("concept", "venue")).alias("value"))
-    return graph.related(_seed(edges), nodes, edges, coupling, cocit, authors, concepts, 30)
+    return graph.related(seed, nodes, edges, coupling, cocit, authors, concepts, 30)
 
 
 def _neighbourhood(name: str, sql: str, pick):
     def run(spark, d) -> DataFrame:
-        nodes, edges, coupling, cocit = _graph(spark, d)
-        return pick(_seed(edges), edges, coupling, cocit).join(nodes.select(F.col("ut").alias("neighbour"), "title"), "neighbour", "left")
+        nodes, edges, coupling, cocit, seed = _graph(spark, d, True)
+        return pick(seed, edges, coupling, cocit).join(nodes.select(F.col("ut").alias("neighbour"), "title"), "neighbour", "left")
 
     query(f"WITH {GRAPH_SQL} SELECT n.*, p_name AS title FROM ({sql}) n LEFT JOIN part ON p_partkey = neighbour", name)(run)
 
