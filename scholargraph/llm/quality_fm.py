@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholargraph.llm.labelled import fold, training_rows
+from scholargraph.llm.worker import let_go
 
 WORD_BUCKETS = 1 << 15
 BINS = 10
@@ -170,6 +171,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(__name__)
         m, cache = Machine.of(*shared.value), {}
         for b in batches:
             out = m.scores(b.column("text").to_pylist(), b.column("n_chars").to_pylist(), cache)
@@ -199,6 +201,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Dat
     counted = "n_chars" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(__name__)
         m, cache = Machine.of(*shared.value), {}
         for b in batches:
             texts = b.column("text").to_pylist()

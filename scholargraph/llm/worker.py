@@ -8,11 +8,27 @@ from collections.abc import Callable
 from typing import Any
 
 
+def _home() -> types.ModuleType:
+    return sys.modules.setdefault("_scholargraph_worker", types.ModuleType("_scholargraph_worker"))
+
+
+def let_go(but: str = "") -> None:
+    """Lets go what operators other than `but` (a module) have kept: workers outlive the steps of a pipeline, and one that
+    begins with another operator's tables in memory may not have room for its own."""
+    home = _home()
+    if getattr(home, "owner", but) != but:
+        vars(home).clear()
+    home.owner = but
+
+
 def kept(name: str, version: str, make: Callable[[], Any]) -> Any:
-    """The value under `name`, made once a worker for each `version`; the value of an earlier version is let go."""
-    home = sys.modules.setdefault("_scholargraph_worker", types.ModuleType("_scholargraph_worker"))
+    """The value under `name`, made once a worker for each `version`; the value of an earlier version is let go, and so
+    are those of other operators."""
+    let_go(make.__module__)
+    home = _home()
     got = getattr(home, name, None)
     if got is None or got[0] != version:
+        setattr(home, name, None)
         got = (version, make())
         setattr(home, name, got)
     return got[1]
