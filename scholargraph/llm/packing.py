@@ -18,8 +18,9 @@ from scholargraph.llm.worker import kept
 from scholargraph.operators.lineage import checkpointed
 
 CAPACITY = 2048
-#: Pieces that one island packs at a time, islands on each such block, individuals and generations on an island.
-BLOCK, ISLANDS, POPULATION, GENERATIONS = 2048, 2, 4, 12
+#: Pieces that one island packs at a time, islands on each such block, individuals on an island, generations between two
+#: migrations, and how often islands evolve.
+BLOCK, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2048, 4, 4, 20, 3
 #: Bins filled less than this are opened again and packed across blocks.
 WELL_FILLED = 0.98
 #: Share of the opened bins that a round has to save for another one to follow.
@@ -210,6 +211,46 @@ def _fill(b: list[int], sizes: list[int]) -> int:
     return sum(sizes[i] for i in b)
 
 
+def refill(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Fills the bins better from loose items, then places what is left by best fit.
+
+    In turn each bin gets the largest loose item that it has room for, or gives one item, or two, for one loose item that
+    fills it more. What it gives is loose for the next bins. Bins only get fuller, so the loose items get smaller, and a
+    bin fewer may do for them.
+    """
+    order = sorted((sizes[i], i) for i in loose)
+    for b in sorted(bins, key=lambda b: -_fill(b, sizes)):
+        room = capacity - _fill(b, sizes)
+        while room and order:
+            k = bisect.bisect_right(order, (room, len(sizes))) - 1
+            if k >= 0:  # a loose item fits as it is
+                size, j = order.pop(k)
+                b.append(j)
+                room -= size
+                continue
+            best = None
+            for x, i in enumerate(b):
+                for y in range(x, len(b)):
+                    gives = sizes[i] + (sizes[b[y]] if y > x else 0)
+                    k = bisect.bisect_right(order, (gives + room, len(sizes))) - 1
+                    if k >= 0 and (gain := order[k][0] - gives) > 0 and (best is None or gain > best[0]):
+                        best = (gain, x, y, k)
+                        if gain == room:
+                            break
+                if best is not None and best[0] == room:
+                    break
+            if best is None:
+                break
+            gain, x, y, k = best
+            _, j = order.pop(k)
+            for at in sorted({x, y}, reverse=True):
+                i = b.pop(at)
+                bisect.insort(order, (sizes[i], i))
+            b.append(j)
+            room -= gain
+    return best_fit([i for _, i in order], sizes, bins, capacity)
+
+
 def quality(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then unevenly filled ones (their squares add up to more). Smaller is better."""
     return len(bins), -sum((_fill(b, sizes) / capacity) ** 2 for b in bins)
@@ -217,7 +258,7 @@ def quality(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int
 
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
     """Injects whole well-filled bins of `b` into `a`; bins of `a` that hold any of their items go, and the other
-    items of those are placed by best fit."""
+    items of those are exchanged into the rest (`refill`) and placed by best fit."""
     full = sorted(range(len(b)), key=lambda k: -_fill(b[k], sizes))[: max(1, len(b) // 2)]
     inject = [b[k] for k in full if rng.random() < 0.5] or [b[full[0]]]
     inside = {i for x in inject for i in x}
@@ -227,14 +268,14 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity
             kept.append(list(x))
         else:
             displaced += [i for i in x if i not in inside]
-    return best_fit(displaced, sizes, kept + [list(x) for x in inject], capacity)
+    return refill(kept + [list(x) for x in inject], displaced, sizes, capacity)
 
 
 def mutate(a: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Opens the emptiest bins and a few others, and places their items by best fit."""
+    """Opens the emptiest bins and a few others, and exchanges their items into the rest."""
     order = sorted(range(len(a)), key=lambda k: _fill(a[k], sizes))
     out = {*order[: max(2, len(a) // 50)], *rng.integers(0, len(a), max(1, len(a) // 25)).tolist()}
-    return best_fit([i for k in out for i in a[k]], sizes, [list(a[k]) for k in range(len(a)) if k not in out], capacity)
+    return refill([list(a[k]) for k in range(len(a)) if k not in out], [i for k in out for i in a[k]], sizes, capacity)
 
 
 def shuffled_fit(sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
@@ -292,8 +333,9 @@ def _as_bins(of: np.ndarray) -> list[list[int]]:
 def pack_items(items: DataFrame, rows: int, capacity: int = CAPACITY, block: int = BLOCK, level: int = 0) -> DataFrame:
     """(pid, length) -> (pid, length, block, bin, offset).
 
-    Items are dealt by a hash of pid and `level` into blocks of about `block`; on each block, ISLANDS islands evolve
-    apart from seeds of their own, send their elite to the next island, and evolve again; the best solution of a block
+    Items are dealt by a hash of pid and `level` into blocks of about `block`. Where the plain best fit of a block meets
+    the lower bound there is nothing to search; on all other blocks ISLANDS islands evolve apart from random orders of
+    their own, send their elite to the next island, and evolve again, EPOCHS times in all; the best solution of a block
     stays. A block is the only thing that ever meets in one task.
     """
     blocks = max(1, -(-rows // block))
@@ -307,22 +349,25 @@ def pack_items(items: DataFrame, rows: int, capacity: int = CAPACITY, block: int
             out = []
             for r in df.itertuples(index=False):
                 sizes = [int(x) for x in r.sizes]
-                elites = [_as_bins(np.asarray(e)) for e in (r.elites if r.elites is not None else [])]
-                best = evolve(sizes, elites, capacity, (int(r.block) * 31 + int(r.island)) * 2 + bool(elites))
+                best = best_fit(list(range(len(sizes))), sizes, [], capacity)
+                if len(best) > -(-sum(sizes) // capacity):
+                    elites = [_as_bins(np.asarray(e)) for e in (r.elites if r.elites is not None else [])]
+                    best = evolve(sizes, elites, capacity, (int(r.block) * 31 + int(r.island)) * 8 + len(elites) + 2 * int(r.epoch))
                 of = np.empty(len(sizes), np.int32)
                 for k, b in enumerate(best):
                     of[b] = k
                 out.append((r.block, r.island, r.pids, r.sizes, of))
             yield pd.DataFrame(out, columns=["block", "island", "pids", "sizes", "bins"])
 
-    apart = problems.select(
+    now = problems.select(
         "block", F.explode(F.lit(list(range(ISLANDS)))).alias("island"), "pids", "sizes", F.lit(None).cast("array<array<int>>").alias("elites")
-    ).repartition("block", "island").mapInPandas(settle, shape)
-    met = apart.select(
-        "block", F.explode(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)))).alias("island"), "pids", "sizes", "bins"
-    ).groupBy("block", "island").agg(F.first("pids").alias("pids"), F.first("sizes").alias("sizes"), F.collect_list("bins").alias("elites"))
-    again = met.select("block", "island", "pids", "sizes", "elites").mapInPandas(settle, shape)
-    best = again.groupBy("block").agg(F.min_by(F.struct("pids", "sizes", "bins"), F.struct(F.array_max("bins"), "island")).alias("s"))
+    ).repartition("block", "island").withColumn("epoch", F.lit(0)).mapInPandas(settle, shape)
+    for epoch in range(1, EPOCHS):
+        met = now.select(
+            "block", F.explode(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)))).alias("island"), "pids", "sizes", "bins"
+        ).groupBy("block", "island").agg(F.first("pids").alias("pids"), F.first("sizes").alias("sizes"), F.array_sort(F.collect_list("bins")).alias("elites"))
+        now = met.select("block", "island", "pids", "sizes", "elites", F.lit(epoch).alias("epoch")).mapInPandas(settle, shape)
+    best = now.groupBy("block").agg(F.min_by(F.struct("pids", "sizes", "bins"), F.struct(F.array_max("bins"), "island")).alias("s"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:

@@ -211,7 +211,30 @@ def test_genetic_steps():
     assert packing.evolve([], [], 2048, 0) == [] and packing.evolve([5], [], 2048, 0) == [[0]]
 
 
-def test_packing_saves_bins_over_plain_best_fit(spark):
+@pytest.mark.parametrize("seed", [16, 21, 22])
+def test_genetic_search_beats_plain_best_fit(spark, seed):
+    """Sizes on which the plain best fit stays one bin above the bound: islands, with migration, meet it."""
+    sizes = np.clip(np.random.default_rng(seed).lognormal(6, 0.9, 500), 20, 2000).astype(int).tolist()
+    least, plain = -(-sum(sizes) // 2048), packing.best_fit(list(range(500)), sorted(sizes), [], 2048)
+    got = packing.pack_items(spark.createDataFrame(list(enumerate(sizes)), "pid long, length long"), 500, 2048)
+    fills = got.groupBy("block", "bin").agg(F.sum("length").alias("n")).collect()
+    assert len(plain) == least + 1 and len(fills) == least and max(r.n for r in fills) <= 2048
+    assert sorted((r.pid, r.length) for r in got.collect()) == list(enumerate(sizes))
+
+
+def test_refill_only_fills():
+    """Exchanges keep every item once, never overfill, and never empty a bin's gain."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        sizes = rng.integers(1, 700, 120).tolist()
+        bins = packing.best_fit(list(range(80)), sizes, [], 2048)
+        before = sorted(sum(sizes[i] for i in b) for b in bins)
+        got = packing.refill([list(b) for b in bins], list(range(80, 120)), sizes, 2048)
+        assert sorted(i for b in got for i in b) == list(range(120)) and all(sum(sizes[i] for i in b) <= 2048 for b in got)
+        assert all(a <= b for a, b in zip(before, sorted((sum(sizes[i] for i in b) for b in got), reverse=True)[: len(before)][::-1]))
+
+
+def test_packing_across_blocks_saves_bins(spark):
     """On items of about a third of a bin each block alone leaves bins half full; rounds across blocks save them."""
     rng = random.Random(2)
     items = spark.createDataFrame([(i, rng.randrange(500, 900)) for i in range(600)], "pid long, length long")
