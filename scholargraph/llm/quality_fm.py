@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholargraph.llm.labelled import fold, training_rows
-from scholargraph.llm.worker import let_go
+from scholargraph.llm.worker import let_go, release
 
 WORD_BUCKETS = 1 << 15
 BINS = 10
@@ -176,6 +176,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         for b in batches:
             out = m.scores(b.column("text").to_pylist(), b.column("n_chars").to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+        release()
 
     docs = _with_length(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -207,5 +208,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Dat
             texts = b.column("text").to_pylist()
             lengths = b.column("n_chars").to_pylist() if counted else [None if t is None else len(t) for t in texts]
             yield b.filter(pa.array(m.scores(texts, lengths, cache) >= THRESHOLD))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 
 def _home() -> types.ModuleType:
     return sys.modules.setdefault("_scholargraph_worker", types.ModuleType("_scholargraph_worker"))
@@ -32,3 +36,13 @@ def kept(name: str, version: str, make: Callable[[], Any]) -> Any:
         got = (version, make())
         setattr(home, name, got)
     return got[1]
+
+
+def release() -> None:
+    """Gives freed memory back to the system. A worker that waits for its next task would keep what arrays of the last one
+    took, beside a heap that needs the room; where the C library cannot do it, nothing happens."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
