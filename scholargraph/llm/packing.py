@@ -219,8 +219,9 @@ def refill(bins: list[list[int]], loose: list[int], sizes: list[int], capacity:
     bin fewer may do for them.
     """
     order = sorted((sizes[i], i) for i in loose)
-    for b in sorted(bins, key=lambda b: -_fill(b, sizes)):
-        room = capacity - _fill(b, sizes)
+    rooms = [capacity - _fill(b, sizes) for b in bins]
+    for n in sorted(range(len(bins)), key=rooms.__getitem__):
+        b, room = bins[n], rooms[n]
         while room and order:
             k = bisect.bisect_right(order, (room, len(sizes))) - 1
             if k >= 0:  # a loose item fits as it is
@@ -248,7 +249,7 @@ def refill(bins: list[list[int]], loose: list[int], sizes: list[int], capacity:
                 bisect.insort(order, (sizes[i], i))
             b.append(j)
             room -= gain
-    return best_fit([i for _, i in order], sizes, bins, capacity)
+    return best_fit([i for _, i in order], sizes, bins, capacity) if order else bins
 
 
 def quality(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, float]:
