@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scholargraph.llm import queries, run_index
@@ -69,3 +70,19 @@ def test_query_and_empty_table(spark, tmp_path):
     for i, (n, removed, spans, kept) in enumerate(plain(texts, run_index.MATCH)):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
     assert run_index.remove_matches(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_of_a_bucket_in_another_order():
+    """A shuffle that is read again may give its rows in another order; the bytes asked for are found all the same."""
+    rng = np.random.default_rng(4)
+    passage = "".join(rng.choice(list("abcde "), 500))
+    texts = ["".join(rng.choice(list("pqrs "), 900)).encode() for _ in range(6)]
+    texts = [t[:300] + passage.encode() + t[300:] if i in (1, 3) else t for i, t in enumerate(texts)]
+    docs = pa.table({"p": [0] * 6, "doc_id": range(6), "k1": range(6), "k2": range(6), "text": pa.array(texts, pa.binary())})
+    side = pa.table({"p": [0] * 6, "k1": range(6), "k2": range(6), "n": [1] * 6})
+    anchors = run_index._recurring(run_index._anchors(docs, side), 1)
+    sent = run_index._stretches(docs, pa.concat_tables([side, anchors], promote_options="default"), 1)
+    asked = pa.concat_tables([side, run_index._recurring_matches(sent)], promote_options="default")
+    for order in (range(6), range(5, -1, -1), [3, 1, 5, 0, 2, 4]):
+        got = run_index._match_bytes(docs.take(pa.array(order)), asked, 1)
+        assert passage.encode() in b"".join(got.column("text").to_pylist())
