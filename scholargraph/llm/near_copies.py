@@ -1,4 +1,5 @@
-"""Near copies: every pair of texts whose shingle sets are similar enough, by prefix filtering, then one text a component."""
+"""Near copies: fingerprints by the generalised pigeonhole first, then, by prefix filtering, every pair of texts whose
+shingle sets are similar enough; one text a component."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholargraph.llm import simhash
 from scholargraph.llm.bitmaps import TEXT_BITS, bitmap, has, may_be_in
 from scholargraph.llm.substring import Powers, Shard, _M1
 from scholargraph.llm.worker import let_go, release
@@ -19,6 +21,8 @@ from scholargraph.operators.lineage import checkpointed, staged
 
 #: Words of a shingle, and the least Jaccard similarity of near copies as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
+#: Bits in which fingerprints of near copies differ at most where they are linked by these.
+DISTANCE = 3
 #: Texts that common shingles are looked for in, and common shingles that are known, at most.
 SAMPLE_ROWS, COMMON = 4000, 100_000
 #: Counters of a set's sketch: shingles by a part of their hash, which bound from above what two sets can share.
@@ -30,7 +34,7 @@ SHINGLE_BITS, HELD = 1 << 25, 500_000
 #: Bytes of text whose shingles are made at a time.
 SHARD = 1 << 20
 #: Sizes within this ratio are a block of a large bucket.
-SIZE_STEP = 1.02
+SIZE_STEP = 1.06
 
 
 def shingle_sets(texts: list[str | None], powers: Powers) -> list[np.ndarray]:
@@ -51,6 +55,24 @@ def _signed(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.uint64)]).view(np.int64)))
 
 
+def fingerprint(one: np.ndarray) -> int:
+    """The signed SimHash of a set: a bit is 1 if set in over half of the hashes."""
+    total = np.zeros(simhash.BITS, np.int64)
+    for a in range(0, len(one), 1 << 16):
+        part = one[a : a + (1 << 16)]
+        total += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * total > len(one)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+def bits_of(one: np.ndarray) -> np.ndarray:
+    """A set as a bitmap of two to four bits a shingle, a power of two of them: sets of like sizes have it as long, or
+    one twice as long, which folds into its first half."""
+    size = 1 << max(6, (2 * len(one) - 1).bit_length())
+    out = np.zeros(size, np.uint8)
+    out[((one >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
+
+
 def _key(one: np.ndarray) -> tuple[int, int]:
     both = np.frombuffer(xxhash.xxh3_128_digest(one.tobytes()), "<i8")
     return int(both[0]), int(both[1])
@@ -104,10 +126,24 @@ def _small(counts):
     return F.when(F.array_max(counts) < 128, counts.cast("array<tinyint>"))
 
 
+def _folded(bits, other):
+    """A bitmap as long as the other one, if that is as long or half as long."""
+    half = (F.size(bits) / 2).cast("int")
+    return F.when(F.size(bits) > F.size(other), F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseOR(y))).otherwise(F.col(bits))
+
+
+def _lacking(a, b):
+    """Bits of one bitmap that another lacks: as many shingles at least are in the one set only. Null for bitmaps of
+    unlike lengths, whose sets are too unlike in size."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+
+
 def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose sketches let them be similar enough: sets share no more than the sum of the smaller counters."""
-    a, b = (classes.select(F.col("c").alias(x), F.col("n").alias(f"{x}_n"), F.col("counts").alias(f"{x}_counts")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").filter(similar_enough(_most("a_counts", "b_counts"), F.col("a_n"), F.col("b_n"))).select("a", "b")
+    """The pairs whose bitmaps let them be similar enough."""
+    a, b = (classes.select(F.col("c").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "a_n", "b_n", _folded("a_bits", "b_bits").alias("x"), _folded("b_bits", "a_bits").alias("y"))
+    most = F.least(F.col("a_n") - _lacking("x", "y"), F.col("b_n") - _lacking("y", "x"))
+    return both.filter(F.size("x") == F.size("y")).filter(similar_enough(most, F.col("a_n"), F.col("b_n"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
@@ -126,18 +162,36 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: b
     return checkpointed(both.filter(similar_enough(F.size(F.array_intersect("a_set", "b_set")), F.size("a_set"), F.size("b_set"))).select("a", "b"))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
-    """Similar pairs that connect all that the candidate pairs (a, b; one row for each shared entry) connect.
+def _alike(classes: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b) of classes whose fingerprints the generalised pigeonhole links; classes of one fingerprint each with
+    the first of them."""
+    lows = checkpointed(classes.groupBy("fp").agg(F.min("c").alias("low")))
+    sample = lows.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(simhash.FIT_ROWS).toArrow().column("fp").to_numpy()
+    plan = simhash.plan_partitions(np.asarray(sample, np.int64), max(lows.count(), 1), DISTANCE)
+    links = simhash.link_fingerprints(lows.select("fp"), plan, max(limit, simhash.PAIR_LIMIT), DISTANCE)
+    x, y = (lows.select(F.col("fp").alias(k), F.col("low").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    far = links.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return far.unionByName(classes.select("fp", "c").join(lows, "fp").filter("c <> low").select(F.col("low").alias("a"), F.col("c").alias("b")))
 
-    Each class is first held against the one that shares most entries with it. Pairs that these links have put into one
-    component need no look; only the others' sets are sent too."""
-    pairs = checkpointed(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
-    links = _verified(best, docs, classes, repeated)
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs that the links have not put into one component."""
     parts = checkpointed(connected_components(links, "a", "b"))
     a, b = (parts.select(F.col("id").alias(x), F.col("component").alias(f"{x}_part")) for x in "ab")
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-    rest = checkpointed(rest.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b"))
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+    return checkpointed(both.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select(pairs.columns))
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool, known: DataFrame) -> DataFrame:
+    """Similar pairs that, with the links known, connect all that the candidate pairs (a, b; one row for each shared
+    entry) connect; the known ones are among them.
+
+    Each class is first held against the one that shares most entries with it. Pairs that links have put into one
+    component need no look; only the others' sets are sent too."""
+    pairs = _apart(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")), known)
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
+    links = known.unionByName(_verified(best, docs, classes, repeated))
+    rest = _apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), links)
     return links if rest.isEmpty() else links.unionByName(_verified(rest, docs, classes, repeated))
 
 
@@ -166,7 +220,11 @@ def _may_match(a: str, b: str):
 def cluster(docs: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
     """doc_id, t1, t2, root, component_id: components (smallest doc_id) over all pairs of texts with 5-word Jaccard of 0.8 or more.
 
-    In one order of all shingles, the first fifth (and one) of the shingles of two similar sets have one in common: it
+    Fingerprints (SimHash) of the sets within DISTANCE bits are found by the generalised pigeonhole of `simhash`, and
+    the pairs are verified on their whole sets. What these links have brought together is decided; the rest of the pairs
+    can be any number of bits apart, so an exact search completes them:
+
+    in one order of all shingles, the first fifth (and one) of the shingles of two similar sets have one in common: it
     is the pigeonhole principle, so no pair is missed, whatever the order. Rare shingles come first. Texts with one set
     are a class and are merged before; classes that share a prefix shingle are candidates and are verified on their
     whole sets. Buckets of over `limit` entries are first linked to their smallest entry; then only pairs of entries
@@ -181,8 +239,9 @@ def cluster(docs: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
             keys = [_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c).slice(x, y - x) for c in ("doc_id", "t1", "t2")), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int32()), pa.array([np.bincount((s >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS) for s in sets], pa.list_(pa.int32()))],
-                names=["doc_id", "t1", "t2", "k1", "k2", "n", "counts"])
+                 pa.array([len(s) for s in sets], pa.int32()), pa.array([np.bincount((s >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS) for s in sets], pa.list_(pa.int32())),
+                 pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([bits_of(s) for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "t1", "t2", "k1", "k2", "n", "counts", "fp", "bits"])
 
     def first_part(s: np.ndarray) -> tuple[np.ndarray, int]:
         """The prefix of a set, rare shingles first, and how many of them are not known to be common."""
@@ -215,6 +274,8 @@ def cluster(docs: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
                 held, size = [], 0
         if held:
             yield from out()
+        held = []
+        release()
 
     def again(table: pa.Table) -> pa.Table:
         """h: the shingles of a shard that stand in several texts."""
@@ -239,10 +300,10 @@ def cluster(docs: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
                     [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(at))), _signed(list(prefix))],
                     names=["k1", "k2", "n", "rare", "at", "prefix"])
 
-    marked = staged(docs.mapInArrow(mark, f"doc_id {kind}, t1 long, t2 long, k1 long, k2 long, n int, counts array<int>"), "sets")
+    marked = staged(docs.mapInArrow(mark, f"doc_id {kind}, t1 long, t2 long, k1 long, k2 long, n int, counts array<int>, fp long, bits array<long>"), "sets")
     repeated = not marked.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").isEmpty()
     classes = staged(marked.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t1", "t2")).alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts")
+        F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t1", "t2")).alias("first"), *(F.first(c).alias(c) for c in ("n", "counts", "fp", "bits"))
     ).withColumn("c", F.monotonically_increasing_id()), "classes")
     # Prefix shingles are counted by themselves before any entry is sent: those of one text can make no pair, and they
     # are most of all. Copies count as several texts here; their entries merge below.
@@ -262,7 +323,8 @@ def cluster(docs: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
     lows = checkpointed(large.groupBy("t").agg(F.min(F.struct("n", "c", "pos")).alias("low")))
     stars = large.join(lows, "t").filter("c <> low.c").select(F.struct("c", "n", "pos").alias("a"), F.col("low").alias("b")).filter(_may_match("a", "b")).select(
         F.least("a.c", "b.c").alias("a"), F.greatest("a.c", "b.c").alias("b"))
-    links = _linked(pairs.unionByName(stars), docs, classes, repeated)
+    known = _verified(_alike(classes, limit), docs, classes, repeated)
+    links = _linked(pairs.unionByName(stars), docs, classes, repeated, known)
     parts = checkpointed(connected_components(links, "a", "b"))
     # Entries of large buckets whose components still differ. Of each bucket, all that are not in its largest component
     # meet all others: members of one large component are never compared, and pairs are turned down where they meet.
@@ -280,7 +342,7 @@ def cluster(docs: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
     late = asking.join(asked, (F.col("a.t") == F.col("b.t")) & (F.col("a.block") == F.col("b.block")) & ordered & differ & _may_match("a", "b") & F.coalesce(similar_enough(_most("a.counts", "b.counts"), F.col("a.n"), F.col("b.n")), F.lit(True)))
     late = checkpointed(late.select(F.least("a.c", "b.c").alias("a"), F.greatest("a.c", "b.c").alias("b")))
     if not late.isEmpty():
-        links = links.unionByName(_linked(late, docs, classes, repeated))
+        links = _linked(late, docs, classes, repeated, links)
         parts = checkpointed(connected_components(links, "a", "b"))
     rooted = classes.join(parts.withColumnRenamed("id", "c"), "c", "left").select("k1", "k2", "least", F.coalesce("component", "c").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -149,13 +149,15 @@ def _gather(fp: Column, positions: list[int]) -> Column:
     return key
 
 
-def link_fingerprints(fps: DataFrame, plan: list[tuple[list[int], int]], limit: int = PAIR_LIMIT) -> DataFrame:
-    """(a, b): links that connect exactly the distinct fingerprints within MAX_DISTANCE of one another.
+def link_fingerprints(fps: DataFrame, plan: list[tuple[list[int], int]], limit: int = PAIR_LIMIT, distance: int = MAX_DISTANCE) -> DataFrame:
+    """(a, b): links between fingerprints within `distance` of one another; for a distance of 2, as in `cluster`, they
+    connect exactly the distinct fingerprints that are so near.
 
     Each fingerprint is entered in the buckets of its groups and, for groups of threshold 1, probes the buckets one
     bit away. In buckets of up to `limit` entries, pairs are compared and verified. Members of larger buckets are
     linked without pairs: each is sent to itself and to the 64 values one bit away, and those that meet at a value
-    are within two bits; all of them are linked to the smallest. Two fingerprints within two bits always meet so.
+    are within two bits; all of them are linked to the smallest. Two fingerprints within two bits always meet so. For
+    distances over 2, members of larger buckets are linked within two bits only: more is for a search that follows.
     """
     entries = []
     for i, (positions, threshold) in enumerate(plan):
@@ -174,7 +176,7 @@ def link_fingerprints(fps: DataFrame, plan: list[tuple[list[int], int]], limit:
     shared = checkpointed(rows.join(buckets, ["part", "key"]).select("fp", "part", "key", "own", "n"))
     small = shared.filter(F.col("n") <= limit)
     a, b = small.filter("own").alias("a"), small.alias("b")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_DISTANCE
+    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
     pairs = a.join(
         b, (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") != F.col("b.fp"))
         & (~F.col("b.own") | (F.col("a.fp") < F.col("b.fp"))) & near

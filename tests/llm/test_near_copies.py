@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -74,3 +75,27 @@ def test_boilerplate_with_own_words(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_copies.cluster(docs, near_copies.PAIR_LIMIT).select("doc_id", "component_id").collect()}
     assert {d: c for d, c in got.items() if d != c} == {6300: 5, 6301: 17}
+
+
+def test_fingerprints_come_first(spark, monkeypatch):
+    """The generalised pigeonhole over fingerprints links near copies before any prefix is looked at, and only those
+    whose sets are similar; bitmaps never turn down a similar pair."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows += [" ".join(base), " ".join([*base[:-1], "other"]), " ".join([*base[:200], "inside", *base[200:]])]
+    sets = near_copies.shingle_sets(rows, near_copies.Powers(least=1 << 20))
+    bits = [(sum(int(h) >> j & 1 for h in s), j, len(s)) for s in sets[:2] for j in range(64)]
+    assert [near_copies.fingerprint(s) % (1 << 64) for s in sets[:2]] == [sum(1 << j for n, j, size in bits[k : k + 64] if 2 * n > size) for k in (0, 64)]
+    for a in sets[:6]:
+        for b in sets[:6]:
+            x, y = (np.unpackbits(near_copies.bits_of(s).view(np.uint8)).astype(bool) for s in (a, b))
+            assert (x & ~y).sum() <= len(np.setdiff1d(a, b))
+    monkeypatch.setattr(near_copies, "_linked", lambda pairs, docs, classes, repeated, known: known)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.cluster(docs).select("doc_id", "component_id").collect()}
+    near = lambda a, b: bin((near_copies.fingerprint(sets[a]) ^ near_copies.fingerprint(sets[b])) % (1 << 64)).count("1") <= near_copies.DISTANCE
+    for k in range(0, len(rows), 3):
+        assert all(got[i] == k for i in (k + 1, k + 2) if near(k, i)) and {got[i] // 3 for i in range(k, k + 3)} == {k // 3}
+    assert sum(d != c for d, c in got.items()) >= 12
