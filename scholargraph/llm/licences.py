@@ -118,6 +118,11 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+def known_grams(words: Column, vocabulary: list[str]) -> Column:
+    """The grams that are in the vocabulary."""
+    return F.filter(grams(words), lambda g: g.isin(vocabulary))
+
+
 def _paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, row key, pos, grams): one row for each line that has a word."""
     return (
@@ -238,7 +243,7 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.
     whole. Repeated rows get a row each. An empty table gives no rows. Other columns are ignored, whatever their names.
 
     The words of a line are looked up in the vocabulary where they stand; only lines that have one are taken apart
-    into grams and scored.
+    into grams, and of these only the vocabulary's become rows and are scored.
     """
     spark = docs.sparkSession
     model = model or fit(docs)
@@ -249,7 +254,7 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.
     listed = sorted(single | {max(pair, key=len) for g in model.vocabulary if single.isdisjoint(pair := g.split(" "))})
     hits = (
         _paragraphs(docs).filter(F.exists("words", lambda w: w.isin(listed)))
-        .select("doc_id", "row", "pos", F.explode(grams(F.col("words"))).alias("gram"))
+        .select("doc_id", "row", "pos", F.explode(known_grams(F.col("words"), model.vocabulary)).alias("gram"))
         .join(F.broadcast(table), "gram")  # bounded by the vocabulary's size
         .groupBy("doc_id", "row", "pos")
         .agg(*[F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(k)], F.collect_set("gram").alias("found"), F.count(F.lit(1)).alias("all"))
