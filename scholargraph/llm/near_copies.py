@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scholargraph.llm import simhash
 from scholargraph.llm.bitmaps import TEXT_BITS, bitmap, has, may_be_in
 from scholargraph.llm.substring import Powers, Shard, _M1
-from scholargraph.llm.worker import let_go, release
+from scholargraph.llm.worker import let_go, release, small_batches
 from scholargraph.operators.components import connected_components
 from scholargraph.operators.lineage import checkpointed, staged
 
@@ -31,8 +31,8 @@ COUNTERS = 64
 PAIR_LIMIT = 4
 #: Bits of the bitmap of recurring prefix shingles; hashes that a task holds.
 SHINGLE_BITS, HELD = 1 << 25, 500_000
-#: Bytes of text whose shingles are made at a time.
-SHARD = 1 << 20
+#: Bytes of text whose shingles are made at a time, and texts that are sent to a worker at once.
+SHARD, TEXTS = 1 << 20, 1000
 #: Sizes within this ratio are a block of a large bucket.
 SIZE_STEP = 1.06
 
@@ -90,6 +90,8 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
             y = int(np.searchsorted(size, (size[x - 1] if x else 0) + SHARD)) + 1
             yield b, x, min(y, len(size)), shingle_sets(texts.slice(x, y - x).to_pylist(), powers)
             x = y
+        b = texts = size = None
+    powers = None
     release()
 
 
@@ -146,6 +148,14 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(F.size("x") == F.size("y")).filter(similar_enough(most, F.col("a_n"), F.col("b_n"))).select("a", "b")
 
 
+def _held(asked: DataFrame, needed: DataFrame) -> DataFrame:
+    """(c, text): the texts asked for of the classes in `needed` (c, row).
+
+    The join shuffles however small `needed` is: with a broadcast, the filter that has asked and the map that follows
+    would be steps of one task, with a Python worker each, and executors keep all workers that they once had."""
+    return asked.withColumn("row", F.struct("doc_id", "t1", "t2")).join(needed.hint("merge"), "row").select("c", "text")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough, counted over the whole sets.
 
@@ -154,8 +164,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: b
     ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     needed = staged(classes.join(ids, "c").select("c", F.struct("first.doc_id", "first.t1", "first.t2").alias("row")), "needed")
     asked = docs.filter(may_be_in(needed.select(F.xxhash64("row.t1", "row.t2").alias("h")), F.xxhash64("t1", "t2"), TEXT_BITS))
-    held = asked.withColumn("row", F.struct("doc_id", "t1", "t2")).join(needed, "row").select("c", "text")
-    sets = held.mapInArrow(_sets, "c long, shingles array<long>")
+    sets = _held(asked, needed).mapInArrow(_sets, "c long, shingles array<long>")
     sets = staged(sets.dropDuplicates(["c"]) if repeated else sets, "shingles")
     left, right = (sets.select(F.col("c").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
@@ -230,6 +239,11 @@ def cluster(docs: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
     whole sets. Buckets of over `limit` entries are first linked to their smallest entry; then only pairs of entries
     that are not in one component yet are candidates. Shingles are compared by 64-bit hashes.
     """
+    with small_batches(docs.sparkSession, TEXTS):  # every step over texts has run when this returns
+        return _cluster(docs, limit)
+
+
+def _cluster(docs: DataFrame, limit: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs))
