@@ -183,24 +183,26 @@ def _alike(classes: DataFrame, limit: int) -> DataFrame:
     return far.unionByName(classes.select("fp", "c").join(lows, "fp").filter("c <> low").select(F.col("low").alias("a"), F.col("c").alias("b")))
 
 
-def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs that the links have not put into one component."""
+def _apart(pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs that the links have not put into one component, and links (a, b) that connect what these do: each
+    member of a component with its smallest one. They are fewer, and need not settle again where they are used on."""
     parts = checkpointed(connected_components(links, "a", "b"))
     a, b = (parts.select(F.col("id").alias(x), F.col("component").alias(f"{x}_part")) for x in "ab")
     both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return checkpointed(both.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select(pairs.columns))
+    stars = parts.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    return checkpointed(both.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select(pairs.columns)), stars
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool, known: DataFrame) -> DataFrame:
-    """Similar pairs that, with the links known, connect all that the candidate pairs (a, b; one row for each shared
-    entry) connect; the known ones are among them.
+    """Links (a, b) that connect all that the known ones and the similar ones of the candidate pairs (a, b; one row for
+    each shared entry) connect.
 
     Each class is first held against the one that shares most entries with it. Pairs that links have put into one
     component need no look; only the others' sets are sent too."""
-    pairs = _apart(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")), known)
+    pairs, known = _apart(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")), known)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("w", -F.col("a"))).alias("a")).select("a", "b")
     links = known.unionByName(_verified(best, docs, classes, repeated))
-    rest = _apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), links)
+    rest, links = _apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), links)
     return links if rest.isEmpty() else links.unionByName(_verified(rest, docs, classes, repeated))
 
 

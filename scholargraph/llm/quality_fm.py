@@ -151,10 +151,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
                 names=["label", "ids", "vals"],
             )
 
-    got = chosen.mapInArrow(featurise, "label int, ids array<int>, vals array<float>").toArrow()
-    made = [(y, np.asarray(i, np.int32), np.asarray(v, np.float32)) for y, i, v in zip(*(got.column(c).to_pylist() for c in ("label", "ids", "vals")))]
+    made = trained_rows(chosen.mapInArrow(featurise, "label int, ids array<int>, vals array<float>").toArrow())
+    machine = Machine().fit(made)
+    made = None
+    release()  # the driver has other steps to come
+    return machine
+
+
+def trained_rows(got: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(label, ids, values) of each row in a fixed order. The arrays are cut from the table's own buffers: as Python's
+    numbers they would take ten times as much of the driver's memory."""
+    made = []
+    for b in got.to_batches():
+        ids, values = b.column("ids"), b.column("vals")
+        edges, start = ids.offsets.to_numpy(), ids.offsets[0].as_py() if len(b) else 0
+        ids, values = ids.flatten().to_numpy(), values.flatten().to_numpy()
+        made += [(y, ids[x - start : z - start], values[x - start : z - start]) for y, x, z in zip(b.column("label").to_pylist(), edges[:-1].tolist(), edges[1:].tolist())]
     made.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
-    return Machine().fit(made)
+    return made
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
