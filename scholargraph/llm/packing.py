@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ WELL_FILLED = 0.98
 LEAST_SAVED = 0.002
 #: Encoded words of each of the two generations that a Python worker remembers.
 REMEMBERED = 600_000
+#: Bytes of text that are encoded at a time, and one text more.
+AT_ONCE = 4 << 20
 
 _GAP = re.compile(r"\s\s")
 _RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -112,46 +115,53 @@ class Encoder:
                     end = self.at_start[tail] = self.bytes(tail)
                 known[w] = known[core] + end
 
+    def _parts(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(parts, which, ends): the ids of the distinct parts of these texts, for each place in them its part, and
+        where each text ends among the places.
+
+        Arrow tells the parts apart, so that only distinct ones are looked up: a word behind its space, or a line break
+        and the word that it precedes. A text's first word is a part of its own.
+        """
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        told = lists.values.dictionary_encode()
+        words, which = told.dictionary.to_numpy(zero_copy_only=False).tolist(), told.indices.to_numpy().astype(np.int64)
+        edges = lists.offsets.to_numpy()
+        first = edges[:-1]
+        heads = [words[k] for k in which[first].tolist()]
+        which[first] = len(words) + np.arange(len(heads))
+        inside = np.bincount(which, minlength=len(words))[: len(words)] > 0
+        found = list(map(self.after_space.get, words))
+        todo = [i for i in np.flatnonzero(inside).tolist() if found[i] is None]
+        new = [words[i] for i in todo]
+        begin = [w for w in new if w[:1] == "\n"]
+        self._learn({w for w in new if w[:1] != "\n"} - {""}, {*heads, *(w[1:] for w in begin)} - {""})
+        young, begun = self.after_space, self.at_start
+        young[""], begun[""] = self.space, b""
+        young.update([(w, self.line_break + begun[w[1:]]) for w in begin])
+        for i, w in zip(todo, new):
+            found[i] = young[w]
+        found += [begun[w] for w in heads]
+        return pa.array(found, pa.large_binary()), which, edges[1:]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list = []
-        again: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
-        after: set[str] = set()
-        start: set[str] = set()
-        known = self.after_space.get
-        for t in texts:
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
             if not t:
-                out.append(b"")
-            elif ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or _RARE_SPACE.search(t)) and _GAP.search(t) or self.special.search(t):
-                out.append(self.bytes(t))
+                continue
+            if ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or _RARE_SPACE.search(t)) and _GAP.search(t) or self.special.search(t):
+                out[i] = self.bytes(t)
             else:
-                units = t.split(" ")
-                parts = list(map(known, units))
-                parts[0] = None
-                todo = [i for i, p in enumerate(parts) if p is None]
-                for i in todo:
-                    word = units[i]
-                    if i and "\n" not in word:
-                        after.add(word)
-                    else:
-                        first, *rest = word.split("\n")
-                        (after if i else start).add(first)
-                        start.update(rest)
-                again.append((len(out), units, parts, todo))
-                out.append(b"")
-        after.discard("")
-        start.discard("")
-        self._learn(after, start)
-        young, begun = self.after_space, self.at_start
-        young[""], begun[""] = self.space, b""
-        for k, units, parts, todo in again:
-            for i in todo:
-                word = units[i]
-                if i and "\n" not in word:
-                    parts[i] = young[word]
-                else:
-                    first, *rest = word.split("\n")
-                    parts[i] = (young[first] if i else begun[first]) + b"".join([self.line_break + begun[w] for w in rest])
-            out[k] = b"".join(parts)
+                plain.append(i)
+        if plain:
+            parts, which, ends = self._parts([texts[i] for i in plain])
+            placed = parts.take(pa.array(which))
+            at = placed.buffers()[1]
+            edges = np.frombuffer(at, np.int64, len(placed) + 1, 8 * placed.offset)
+            raw, begin = memoryview(placed.buffers()[2] or b""), int(edges[0])
+            for i, end in zip(plain, edges[ends].tolist()):
+                out[i] = bytes(raw[begin:end])
+                begin = end
         return out
 
 
@@ -166,8 +176,11 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept("encoder", path, lambda: Encoder(path))
         for b in batches:
-            for a in range(0, len(b), 256):
-                own = b.slice(a, 256)
+            upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = end = 0
+            while end < len(b):
+                a, end = end, int(np.searchsorted(upto, (upto[end - 1] if end else 0) + AT_ONCE)) + 1
+                own = b.slice(a, end - a)
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(encoder.encode(own.column("text").to_pylist())):
                     ids += b"\x00\x00\x00\x00"
