@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 DOI = r"(?i)10\.\d{4,9}/\S+"
 EMAIL = r"(?i)(?<![\w.+-])([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})"
 YEAR = r"\b(?:18|19|20)\d{2}\b"
+DATED = r"(?s)^[^,]*,\s*((?:18|19|20)\d{2})\s*(?:,(.*))?$"
 EMAIL_TAIL = r"[.,;:)\]}>\"]+$"
 # Words that say nothing about a title.
 STOP_WORDS = [
@@ -125,9 +126,12 @@ def coverage(part: Column, whole: Column) -> Column:
 
 def cited_reference(raw: Column) -> Column:
     """author, year, source, volume, page and DOI of one cited-reference line. Volume and page are pieces V<digit>
-    and P<digit>, so that a source such as PHYS REV is neither."""
-    year = F.regexp_extract(raw, YEAR, 0)
-    after = F.regexp_replace(F.regexp_extract(raw, r"\b(?:18|19|20)\d{2}\b(.*)$", 1), r"^[ ,]+", "")
+    and P<digit>, so that a source such as PHYS REV is neither. The piece after the author is the year if it is one, so
+    that four digits in the author's name are not; otherwise the first year of the line counts."""
+    own = F.regexp_extract(raw, DATED, 1)
+    year = F.when(own != "", own).otherwise(F.regexp_extract(raw, YEAR, 0))
+    rest = F.when(own != "", F.regexp_extract(raw, DATED, 2)).otherwise(F.regexp_extract(raw, r"\b(?:18|19|20)\d{2}\b(.*)$", 1))
+    after = F.regexp_replace(rest, r"^[ ,]+", "")
     return F.struct(
         F.trim(F.split(raw, ",")[0]).alias("author"), blank_to_null(year).cast("int").alias("year"),
         F.when(year != "", blank_to_null(F.trim(F.split(after, ",")[0]))).alias("source"),

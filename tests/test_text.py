@@ -49,3 +49,10 @@ def test_document_role(spark):
     assert one(spark, X.document_role, "/a/b/paper_SI.pdf").role == "SUPPLEMENTARY"
     assert one(spark, X.document_role, "C:\\x\\paper.pdf").role == "PRIMARY_ARTICLE"
     assert one(spark, X.document_role, None).role == "UNKNOWN"
+
+
+def test_year_of_a_cited_reference_is_not_in_its_author(spark):
+    rows = [("Supplier 1977, 2001, J PART 2, V56, P1977", "Supplier 1977", 2001, "J PART 2"), ("Group 1850, 1999", "Group 1850", 1999, None), ("Doe J 1998 J CHEM, V1", "Doe J 1998 J CHEM", 1998, "J CHEM"), ("2001, J CHEM, V12", "2001", 2001, "J CHEM"), ("Doe J, J CHEM", "Doe J", None, None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "raw string, author string, year int, source string")
+    got = df.select(X.cited_reference(F.col("raw")).alias("r")).select("r.author", "r.year", "r.source").collect()
+    assert [tuple(r) for r in got] == [r[1:] for r in rows]
