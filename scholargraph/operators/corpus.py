@@ -65,16 +65,18 @@ def match_papers(papers: DataFrame, records: DataFrame) -> DataFrame:
     A unique DOI decides; a shared one only if the year singles a record out. Without a DOI match, a unique exact
     title of compatible year decides; of several, the one of compatible year if its venue does not disagree.
     """
-    p = papers.select(*[F.col(c).alias(f"p_{c}") if c != "paper_id" else F.col(c) for c in ("paper_id", "doi", "title", "year", "venue")])
-    fits = F.col("p_year").isNull() | F.col("year").isNull() | (F.col("p_year") == F.col("year"))
-
-    def candidates(on: str) -> DataFrame:
-        both = p.join(records, F.col(f"p_{on}") == F.col(on))
-        return both.groupBy("paper_id").agg(
-            F.count(F.lit(1)).alias(f"{on}_n"), F.count_if(fits).alias(f"{on}_fit"), F.min("ut").alias(f"{on}_ut"),
-            F.min(F.when(fits, F.col("ut"))).alias(f"{on}_fit_ut"), F.min_by("venue", F.when(fits, F.col("ut"))).alias(f"{on}_venue"))
-
-    full = p.join(candidates("doi"), "paper_id", "left").join(candidates("title"), "paper_id", "left")
+    full = papers.select(*[F.col(c).alias(f"p_{c}") if c != "paper_id" else F.col(c) for c in ("paper_id", "doi", "title", "year", "venue")])
+    for on in ("doi", "title"):
+        # Records are added up by value and year first: papers and records that share a value are never paired.
+        first = F.min(F.struct("ut", "venue"))
+        dated = records.filter(F.col(on).isNotNull()).groupBy(F.col(on).alias(f"p_{on}"), F.col("year").alias("p_year")).agg(F.count(F.lit(1)).alias("n"), first.alias("best"))
+        undated = F.col("p_year").isNull()
+        whole = dated.groupBy(f"p_{on}").agg(
+            F.sum("n").alias(f"{on}_n"), F.min("best").alias("first"), F.sum(F.when(undated, F.col("n"))).alias("undated_n"), F.min(F.when(undated, F.col("best"))).alias("undated"))
+        full = full.join(whole, f"p_{on}", "left").join(dated, [f"p_{on}", "p_year"], "left")
+        fit = F.when(undated, F.col("first")).otherwise(F.least("best", "undated"))
+        full = full.withColumn(f"{on}_fit", F.when(undated, F.col(f"{on}_n")).otherwise(F.coalesce("n", F.lit(0)) + F.coalesce("undated_n", F.lit(0)))).withColumn(
+            f"{on}_ut", F.col("first.ut")).withColumn(f"{on}_fit_ut", fit["ut"]).withColumn(f"{on}_venue", fit["venue"]).drop("n", "best", "first", "undated_n", "undated")
     agree = F.col("p_venue").isNull() | F.col("title_venue").isNull() | (F.lower("p_venue") == F.lower("title_venue"))
     pick = lambda state, ut, how, n: F.struct(F.lit(state).alias("state"), ut.alias("ut"), F.lit(how).cast("string").alias("method"), n.cast("long").alias("candidate_count"))
     none = F.lit(None).cast("long")

@@ -109,6 +109,18 @@ def test_matching(spark):
     assert got == {1: ("MATCHED", 10, "DOI_EXACT"), 2: ("MATCHED", 11, "TITLE_EXACT"), 3: ("NOT_IN_LOCAL_CORPUS", None, None), 4: ("MATCHED", 12, "DOI_EXACT"), 5: ("AMBIGUOUS", None, None)}
 
 
+def test_matching_makes_no_pairs_of_a_shared_title(spark):
+    """A title of 20,000 papers and 20,000 records would make 400 million pairs; years that are missing fit any."""
+    papers = spark.range(20_000).select(F.col("id").alias("paper_id"), F.lit(None).cast("string").alias("doi"), F.lit("t").alias("title"), F.when(F.col("id") % 4 > 0, 5 - F.col("id") % 4).cast("int").alias("year"), F.lit("V").alias("venue"))
+    rec = spark.range(20_000).select(F.col("id").alias("ut"), F.lit(None).cast("string").alias("doi"), F.lit("t").alias("title"), F.when(F.col("id") == 7, 3).when(F.col("id") == 9, 2).otherwise(9).cast("int").alias("year"), F.when(F.col("id") == 9, "other").otherwise("v").alias("venue"))
+    got = corpus.match_papers(papers, rec)
+    assert {tuple(r) for r in got.groupBy(F.col("paper_id") % 4, "state", "ut", "method", "candidate_count").count().collect()} == {
+        (0, "AMBIGUOUS", None, None, 20_000, 5000), (1, "AMBIGUOUS", None, None, 20_000, 5000), (2, "MATCHED", 7, "TITLE_YEAR_JOURNAL", 20_000, 5000), (3, "AMBIGUOUS", None, None, 20_000, 5000)}
+    undated = spark.createDataFrame([(1, None, "t", None, "v")], "ut long, doi string, title string, year int, venue string")
+    assert {tuple(r) for r in corpus.match_papers(papers, undated).select("state", "ut", "method").distinct().collect()} == {("MATCHED", 1, "TITLE_EXACT")}
+    assert "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pairs_without_evidence_are_no_candidates(spark):
     pairs = spark.createDataFrame([(1, 1, False, 0.1, True, False, False, False, False), (1, 2, True, 1.0, True, True, True, False, False)],
                                   "reference_id int, paper_id int, exact_title boolean, title_coverage double, year boolean, venue boolean, author boolean, volume boolean, page boolean")
