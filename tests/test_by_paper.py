@@ -39,3 +39,22 @@ def test_frozen_decisions(spark):
     assert {tuple(r) for r in out.collect()} == {(11, 1, 4, 0.6, True, True), (21, 2, 4, 0.1, True, True), (22, 2, 9, 0.4, False, False)}
     assert not [x for x in exchanges(out) if "hashpartitioning(mention_id" in x]
     assert out.filter(F.col("author_id") == 3).count() == 0
+
+
+def test_references_of_one_kind_are_not_paired(spark, tmp_path):
+    """Copies of parts and lines under other keys add rows, but no pairs beyond those of their kinds."""
+    copies = 24
+    for t, keys in (("part", {"p_partkey": 1200}), ("lineitem", {"l_orderkey": 300, "l_partkey": 1200, "l_suppkey": 12})):
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        df = df.filter(F.col("p_partkey" if t == "part" else "l_orderkey") < (200 if t == "part" else 100)).crossJoin(spark.range(copies).withColumnRenamed("id", "copy"))
+        for k, step in keys.items():
+            df = df.withColumn(k, F.col(k) + F.col("copy") * step)
+        df.drop("copy").write.parquet(f"{tmp_path}/{t}.parquet")
+    sent, decide = [], resolve.decide_references
+    try:
+        resolve.decide_references = lambda r, h, s: sent.append(s.count()) or decide(r, h, s)
+        got = resolve_queries.reference_resolve(spark, str(tmp_path))
+    finally:
+        resolve.decide_references = decide
+    assert 0 < sent[0] < got.count()
+    assert {r.candidate_count % copies for r in got.filter("match_type = 'AUTHOR_YEAR_JOURNAL'").collect()} == {0}
