@@ -6,11 +6,21 @@ own rows, so a log of any length is folded in parallel by key.
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholargraph.operators.lineage import staged
 
+#: Changes of locks, and authors that have any, which may go to every task (8 bytes a change).
+LOCKS, LOCKED_AUTHORS = 8_000_000, 200_000
+
 #: Decisions that give a mention an author, and those that take it away.
 GIVES, TAKES = ("ACCEPT", "CREATE", "SPLIT"), ("UNLINK",)
 
@@ -50,15 +60,82 @@ def judged_log(log: DataFrame) -> DataFrame:
     locked (HELD_LOCKED); SPLIT of a mention without an author (NOTHING_HELD). A link to the author held already, and
     UNLINK where none is held, change nothing and are never refused.
 
-    What a mention holds depends on the outcomes of its earlier rows, and these on the locks of what it held then. All
-    rows are judged at once from the outcomes of the round before, until a round changes none. A round settles at least
-    the next row of every mention; rows after a wrong one are right as soon as both lead to one author, so rounds are
-    as many as the longest run of rows that truly hang on each other, not as many as a mention has rows. Nothing is
-    collected by mention or author: each step is a window over sorted rows.
+    What a mention holds depends on the outcomes of its earlier rows, and these on the locks of what it held then. Locks
+    follow from the log alone. If their changes are few enough to go to every task, each mention's rows are judged one
+    after the other as they stream by, sorted; beyond that, all rows are judged at once in rounds (`_in_rounds`). Neither
+    gathers rows by mention or author; a task keeps the authors ruled out for the mention at hand.
     """
     target = F.when(F.col("op").isin("CREATE", "SPLIT"), new_author()).when(~F.col("op").isin(*TAKES), F.col("author").cast("string"))
-    rows = log.withColumn("target", target)
+    rows = staged(log, "log").withColumn("target", target)
     locks = rows.filter(F.col("op").isin("LOCK", "UNLOCK")).select("seq", F.col("target").alias("held"), (F.col("op") == "LOCK").alias("locked"))
+    was = F.coalesce(F.lag("locked").over(Window.partitionBy("held").orderBy("seq")), F.lit(False))
+    changes = staged(locks.withColumn("was", was).filter("was <> locked").select("held", "seq"), "locks")
+    size = changes.groupBy("held").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("authors"), F.coalesce(F.sum("n"), F.lit(0)).alias("changes")).first()
+    judged = _in_turn(rows, changes) if size["changes"] <= LOCKS and size["authors"] <= LOCKED_AUTHORS else _in_rounds(rows, locks)
+    return judged.select(*log.columns, "target", "held", F.when(F.col("reason").isNull(), "DONE").otherwise("REFUSED").alias("outcome"), "reason", "moves")
+
+
+def _in_turn(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """rows with held, reason and moves: one pass over each mention's rows in their order. An author is locked if the number
+    of changes(held, seq) before a row is odd."""
+    got = changes.toArrow()
+    at, names = got.column("seq").to_numpy(), got.column("held").combine_chunks().dictionary_encode()
+    order = np.lexsort((at, codes := names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False)))
+    ends = np.searchsorted(codes[order], np.arange(len(names.dictionary) + 2))
+    at, authors = at[order].astype(np.int64), [*names.dictionary.to_pylist(), None]
+    sent = rows.sparkSession.sparkContext.broadcast({a: array("q", at[i:j].tobytes()) for a, i, j in zip(authors, ends, ends[1:]) if i < j})
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        locks = sent.value
+        now, held, barred = object(), None, set()
+
+        def locked(author, seq) -> bool:
+            found = locks.get(author)
+            return found is not None and bisect_left(found, seq) & 1
+
+        for b in batches:
+            helds, reasons, moved = [], [], []
+            for m, seq, op, author, actor in zip(*(b.column(c).to_pylist() for c in ("mention", "seq", "op", "target", "actor"))):
+                if m != now:
+                    now, held, barred = m, None, set()
+                had, reason, moves = held, None, False
+                if op == "ACCEPT":
+                    if author != had:
+                        if locked(author, seq):
+                            reason = "LOCKED"
+                        elif author in barred and actor is not None and actor != "MANUAL":
+                            reason = "NOT_SAME"
+                        elif had is not None and locked(had, seq):
+                            reason = "HELD_LOCKED"
+                        else:
+                            moves = True
+                elif op == "CREATE":
+                    moves = had is None
+                elif op == "SPLIT" or op == "UNLINK":
+                    if had is None:
+                        reason = "NOTHING_HELD" if op == "SPLIT" else None
+                    elif locked(had, seq):
+                        reason = "HELD_LOCKED"
+                    else:
+                        moves = True
+                elif op == "NOT_SAME":
+                    barred.add(author)
+                if moves:
+                    held = author
+                helds.append(had)
+                reasons.append(reason)
+                moved.append(moves)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(helds, pa.string()), pa.array(reasons, pa.string()), pa.array(moved, pa.bool_())], names=[*b.schema.names, "held", "reason", "moves"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("held", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("moves", T.BooleanType())])
+    return rows.repartition("mention").sortWithinPartitions("mention", "seq").mapInArrow(judge, schema)
+
+
+def _in_rounds(rows: DataFrame, locks: DataFrame) -> DataFrame:
+    """rows with held, reason and moves: all are judged at once from the outcomes of the round before, until a round changes
+    none. A round settles at least the next row of every mention; rows after a wrong one are right as soon as both lead to
+    one author, so rounds are as many as the longest run of rows that truly hang on each other, not as many as a mention has
+    rows. Each step is a window over sorted rows."""
     bars = rows.filter("op = 'NOT_SAME'").select("seq", "mention", "target", F.lit(True).alias("barred"))
     seen = _as_of(rows, locks.withColumnRenamed("held", "target"), ["target"], "locked", "was_locked")
     seen = staged(_as_of(seen, bars, ["mention", "target"], "barred", "was_barred").withColumn("moves", F.col("op").isin(*GIVES, *TAKES)), "decisions")
@@ -70,7 +147,7 @@ def judged_log(log: DataFrame) -> DataFrame:
         reason, moves = _outcome()
         now = staged(held.withColumn("reason", reason).withColumn("moves_", moves), "decisions")
         if now.filter("moves <> moves_").isEmpty():
-            return now.select(*log.columns, "target", "held", F.when(F.col("reason").isNull(), "DONE").otherwise("REFUSED").alias("outcome"), "reason", "moves")
+            return now
         seen = now.drop("held", "held_locked", "reason", "moves").withColumnRenamed("moves_", "moves")
 
 

@@ -59,3 +59,16 @@ def test_named_case(spark):
 
 def test_empty(spark):
     assert decisions.judged_log(spark.createDataFrame([], "seq long, op string, mention long, author string, actor string")).filter(F.col("moves")).count() == 0
+
+
+def test_both_ways_agree_and_few_locks_take_one_pass(spark, monkeypatch):
+    rnd = random.Random(5)
+    ops = ["ACCEPT"] * 6 + ["LOCK"] * 3 + ["UNLOCK"] * 2 + ["SPLIT", "UNLINK", "CREATE", "NOT_SAME"]
+    rows = [(i, rnd.choice(ops), rnd.choice([1, 1, 2]), rnd.choice(["x", "y", "z"]), rnd.choice(["AUTO", "MANUAL", None])) for i in range(300)]
+    log = spark.createDataFrame(rows, "seq long, op string, mention long, author string, actor string")
+    in_rounds = decisions._in_rounds
+    monkeypatch.setattr(decisions, "_in_rounds", None)  # not taken
+    one_pass = sorted(decisions.judged_log(log).collect(), key=lambda r: r.seq)
+    monkeypatch.setattr(decisions, "_in_rounds", in_rounds)
+    monkeypatch.setattr(decisions, "LOCKS", 3)
+    assert sorted(decisions.judged_log(log).collect(), key=lambda r: r.seq) == one_pass
