@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from scholargraph.functions import text as X
 from scholargraph.operators.components import connected_components
+from scholargraph.operators.lineage import staged
 
 
 def text_status(pages: DataFrame, thin: int = 200) -> DataFrame:
@@ -79,6 +80,48 @@ def compatible_person_names(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
+@F.pandas_udf(T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("initials", T.IntegerType()), T.StructField("parts", T.IntegerType())]))
+def _name_parts(names: pd.Series) -> pd.DataFrame:
+    """A name's parts of two letters or more (a repeated one with its number), how many initials it has, and all its parts."""
+    out = []
+    for z in names:
+        parts = "".join(c if c.isalnum() else " " for c in (z or "").casefold()).split()
+        seen, words = {}, []
+        for w in parts:
+            if len(w) > 1:
+                seen[w] = seen.get(w, 0) + 1
+                words.append(f"{w} {seen[w]}")
+        out.append((words, len(parts) - len(words), len(parts)))
+    return pd.DataFrame(out, columns=["words", "initials", "parts"])
+
+
+def name_pairs(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
+    """left(block, left_id, a) and right(block, right_id, b): all pairs of a block whose names are compatible, with a and b.
+
+    Parts of two letters or more of the name with fewer parts (the left one, if they have as many) find an equal part or take
+    an initial of the other; so of w such parts and i initials, at least max(1, w - i) are equal. Names that share k words
+    share one of the first words of each, in order of rarity, all but k - 1 of them being tried. Only pairs that meet so are
+    compared. Names are told apart by their numbers of words and initials, each pair of which has its own k.
+    """
+    sides = []
+    for df, key, name in ((left, "left_id", "a"), (right, "right_id", "b")):
+        n = _name_parts(name)
+        sides.append(staged(df.select(block, key, name, n.alias("n")).select(block, key, name, "n.*").filter("size(words) > 0"), "names"))
+    rare = sides[0].select(block, "words").unionByName(sides[1].select(block, "words")).select(block, F.explode("words").alias("word")).groupBy(block, "word").agg(F.count(F.lit(1)).alias("n"))
+    kinds = [df.select(F.size("words").alias(f"w{i}"), F.col("initials").alias(f"i{i}"), F.col("parts").alias(f"p{i}")).distinct() for i, df in enumerate(sides)]
+    k = F.when(F.col("p0") <= F.col("p1"), F.col("w0") - F.col("i1")).otherwise(F.col("w1") - F.col("i0"))
+    meet = kinds[0].crossJoin(kinds[1]).withColumn("k", F.greatest(F.lit(1), k)).filter("k <= w0 AND k <= w1")
+    keyed = []
+    for i, (df, key, name) in enumerate(zip(sides, ("left_id", "right_id"), "ab")):
+        ranked = df.distinct().select(block, key, name, "initials", "parts", F.size("words").alias("w"), F.explode("words").alias("word")).join(rare, [block, "word"])
+        ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy(block, key, name).orderBy("n", "word")))
+        on = (F.col("w") == F.col(f"w{i}")) & (F.col("initials") == F.col(f"i{i}")) & (F.col("parts") == F.col(f"p{i}"))
+        keyed.append(ranked.join(meet, on).filter(F.col("at") <= F.col("w") - F.col("k") + 1).select(block, "word", "w0", "i0", "p0", "w1", "i1", "p1", key))
+    met = keyed[0].join(keyed[1], [block, "word", "w0", "i0", "p0", "w1", "i1", "p1"]).select(block, "left_id", "right_id").distinct()
+    a, b = sides[0].select(block, "left_id", "a"), sides[1].select(block, "right_id", "b")
+    return met.join(a, [block, "left_id"]).join(b, [block, "right_id"]).filter(compatible_person_names("a", "b"))
+
+
 def multiplicity_seeds(mentions: DataFrame) -> DataFrame:
     """name, mention, seed: as many identities as a name has mentions on one paper at most, seeded by the smallest
     mentions of the paper that needs most (the smallest such paper)."""

@@ -188,7 +188,7 @@ def compatible_names(spark, d) -> DataFrame:
     """Suppliers of one nation whose names can be one person's, with the number of their words."""
     s = T.table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.concat(F.lit("Ann "), F.regexp_replace("s_name", r"^.*#0*", "N"), F.lit(" Lee")).alias("name"))
     a, b = s.select("s_nationkey", F.col("s_suppkey").alias("left_id"), F.col("name").alias("a")), s.select("s_nationkey", F.col("s_suppkey").alias("right_id"), F.concat(F.lit("A. "), F.split("name", " ")[1], F.lit(" Lee")).alias("b"))
-    return a.join(b, "s_nationkey").filter(evidence.compatible_person_names("a", "b")).select("left_id", "right_id", F.size(F.split("a", " ")).cast("long").alias("words"))
+    return evidence.name_pairs(a, b, "s_nationkey").select("left_id", "right_id", F.size(F.split("a", " ")).cast("long").alias("words"))
 
 
 @query(f"WITH {T.REFS_SQL} SELECT b, count(*) AS papers FROM (SELECT source_ut, CASE WHEN count(*) >= 5 THEN 'many' WHEN count(*) >= 2 THEN 'some' ELSE 'one' END AS b FROM refs GROUP BY 1) GROUP BY 1")

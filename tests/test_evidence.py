@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from scholargraph.operators import evidence, runs
@@ -61,6 +63,19 @@ def test_compatible_names(spark):
     assert df.filter(evidence.compatible_person_names("a", "b") != F.col("want")).count() == 0
 
 
+def test_name_pairs_are_all_pairs(spark):
+    """As many as a comparison of all with all finds, and few are compared where only common parts are shared."""
+    rnd = random.Random(2)
+    parts = ["ann", "A.", "bo", "B.", "lee", "L.", "Lee", "ann ann", "Zoë", "z", "N1", "n2", "n"]
+    rows = [(rnd.randrange(2), i, " ".join(rnd.choice(parts) for _ in range(rnd.randrange(5)))) for i in range(150)]
+    a, b = spark.createDataFrame(rows, "g int, left_id int, a string"), spark.createDataFrame(rows[::-1], "g int, right_id int, b string")
+    want = sorted((r.left_id, r.right_id) for r in a.join(b, "g").filter(evidence.compatible_person_names("a", "b")).collect())
+    assert want and sorted((r.left_id, r.right_id) for r in evidence.name_pairs(a, b, "g").collect()) == want
+    many = spark.range(20_000).select(F.lit(1).alias("g"), F.col("id").alias("left_id"), F.concat(F.lit("Ann N"), F.col("id") + 10, F.lit(" Lee")).alias("a"))
+    other = many.select("g", F.col("left_id").alias("right_id"), F.regexp_replace("a", "^Ann", "A.").alias("b"))
+    assert evidence.name_pairs(many, other, "g").filter("left_id = right_id").count() == 20_000
+
+
 def test_merges_are_guarded(spark):
     authors = spark.createDataFrame([(i,) for i in range(1, 6)], "author int")
     merges = spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "left int, right int")
